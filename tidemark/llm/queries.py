@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, flac, packing, sharding
+from tidemark.llm import bpe, flac, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,16 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), room=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_bpe, op6_flac, op8_packing)}
+    return {f.__name__: f for f in (op2_sharding, op3_bpe, op6_flac, op7_warc, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
