@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, flac, packing, quality, sharding, warc
+from tidemark.llm import bpe, flac, ngram_join, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"), n=5, num=75, den=100)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -41,7 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_bpe, op6_flac, op7_warc, op8_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_bpe, op6_flac, op7_warc, op8_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -67,26 +67,32 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype="<u4").astype(np.uint64)
 
 
-def count_slots(df: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """Counts how often each slot of 0..size-1 occurs, in an array of fixed size (so safe to hold on the driver).
+PARTIAL_SUMS = "slice long, who long, sums binary"
 
-    Every task sums its own rows, then passes of FAN_IN-way sums follow; no task ever holds more than FAN_IN
-    slices of SLICE counters. Counters saturate at 2^32 - 1.
-    """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.uint32)
-        for batch in batches:
-            slots = slots_of(batch)
-            if len(slots):
-                total += np.bincount(slots, minlength=size).astype(np.uint32)
+class SlotCounter:
+    """A task's own counts of the slots 0..size-1, and the rows of partial sums that stand for them."""
+
+    def __init__(self, size: int):
+        self.size, self.total = size, np.zeros(size, dtype=np.uint32)
+
+    def add(self, slots: np.ndarray) -> None:
+        if len(slots) * 8 > self.size:
+            self.total += np.bincount(slots, minlength=self.size).astype(np.uint32)
+        elif len(slots):
+            np.add.at(self.total, slots, 1)
+
+    def rows(self) -> list[tuple[int, int, bytes]]:
         who = uuid.uuid4().int & ((1 << 62) - 1)
-        for k in range(0, size, SLICE):
-            part = total[k : k + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE], pa.int64()), "who": pa.array([who], pa.int64()), "sums": pa.array([_pack(part)], pa.binary())})
+        parts = ((k // SLICE, self.total[k : k + SLICE]) for k in range(0, self.size, SLICE))
+        return [(k, who, _pack(part)) for k, part in parts if part.any()]
 
-    def add(key, group):
+
+def sum_slots(parts: DataFrame, size: int) -> np.ndarray:
+    """Adds up PARTIAL_SUMS into one array of fixed size (so safe to hold on the driver), FAN_IN at a time: no task
+    holds more than FAN_IN slices of SLICE counters. Counters saturate at 2^32 - 1."""
+
+    def add(group):
         total = _unpack(group.sums.iloc[0])
         for b in group.sums.iloc[1:]:
             total = total + _unpack(b)
@@ -94,20 +100,82 @@ def count_slots(df: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray],
         group["sums"] = [_pack(np.minimum(total, (1 << 32) - 1))]
         return group[["slice", "who", "sums"]]
 
-    schema = "slice long, who long, sums binary"
-    spark = session(df)
-    ws = Workspace(spark, "sums")
-    parts = ws.table(df.mapInArrow(partial, schema), "p0")
+    ws = Workspace(session(parts), "sums")
     most, level = parts.groupBy("slice").count().agg(F.max("count")).first()[0] or 0, 0
     while most > FAN_IN:
         level += 1
         groups = -(-most // FAN_IN)
-        parts = ws.table(parts.groupBy("slice", F.pmod(F.col("who"), F.lit(groups)).alias("part")).applyInPandas(add, schema), f"p{level}")
-        ws.drop(f"p{level - 1}")
-        most = groups if groups > 1 else 1
+        parts = ws.table(parts.groupBy("slice", F.pmod(F.col("who"), F.lit(groups)).alias("part")).applyInPandas(add, PARTIAL_SUMS), f"p{level}")
+        if level > 1:
+            ws.drop(f"p{level - 1}")
+        most = groups
     out = np.zeros(size, dtype=np.uint64)
     for r in parts.toLocalIterator():
         a = _unpack(bytes(r["sums"]))
         out[r["slice"] * SLICE : r["slice"] * SLICE + len(a)] += a
     ws.drop(f"p{level}")
     return out
+
+
+def count_slots(df: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Counts how often each slot of 0..size-1 occurs over all rows."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = SlotCounter(size)
+        for batch in batches:
+            counter.add(slots_of(batch))
+        for k, who, sums in counter.rows():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int64()), "who": pa.array([who], pa.int64()), "sums": pa.array([sums], pa.binary())})
+
+    ws = Workspace(session(df), "slots")
+    out = sum_slots(ws.table(df.mapInArrow(partial, PARTIAL_SUMS), "parts"), size)
+    ws.drop("parts")
+    return out
+
+
+def id_slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    """A slot of 2^bits for each 64-bit id."""
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_bitmap(df: DataFrame, column: str, bits: int = 21) -> np.ndarray:
+    """Booleans of a fixed number of slots: true where some id of `column` falls. Rows outside can be passed over before
+    a join; what is let in by chance, the join itself drops."""
+    ids = df.select(F.col(column).cast("long").alias("id")).where("id is not null")
+    return count_slots(ids, lambda b: id_slots(b.column(0).to_numpy(zero_copy_only=False), bits), 1 << bits) > 0
+
+
+def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """id, comp: for each id of the undirected edges (u, v), the smallest id that it reaches.
+
+    Alternates large-star and small-star steps (each a min per id and a join back) until the edges stand still; every
+    step is written to the shared folder, and hot ids are split by the join.
+    """
+    u, v = F.col("u"), F.col("v")
+
+    def step(e: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+        joined = e.join(least, "u")
+        if large:
+            return joined.where("v > u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        return joined.select(F.when(v == F.col("m"), u).otherwise(v).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+    now = ws.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+    before, turn = state(now), 0
+    while before[0]:
+        turn += 1
+        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
+        least = ws.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-m{turn}")
+        large = ws.table(step(both, least, True), f"{name}-l{turn}")
+        least = ws.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-n{turn}")
+        # (u, m) of every u as well as (v, m) of its other neighbours
+        small = step(large, least, False).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        now = ws.table(small, f"{name}-{turn}")
+        ws.drop(f"{name}-m{turn}", f"{name}-l{turn}", f"{name}-n{turn}", f"{name}-{turn - 1}")
+        after = state(now)
+        if after == before:
+            break
+        before = after
+    roots = now.select(v.alias("id")).distinct().select("id", F.col("id").alias("comp"))
+    return now.select(u.alias("id"), v.alias("comp")).unionByName(roots)
