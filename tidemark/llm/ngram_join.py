@@ -259,3 +259,13 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     out = ws.table(named.select("doc_id", "n_shingles", F.coalesce("comp", "representative_id").alias("component_id"), "representative_id"), "result")
     ws.drop("kept", "pivots", "lists", "placed", "outside", "more", "new", "stars", "known", "found", "comps", "final", "reps", "scan")
     return out
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """The rows of `df`, with all their columns, that stand for their component: those of its smallest id, one row of
+    them if the id repeats (of the least text hash). Rows with a null id take no part in links and all stay."""
+    ids = join_documents(df, key, text, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = df.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("_kept"), "left_semi")
+    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return rows.unionByName(df.where(F.col(key).isNull()))

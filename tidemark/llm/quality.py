@@ -210,3 +210,9 @@ def score_documents(docs: DataFrame, model: Ensemble, key: str = "doc_id", text:
     """
     out = with_statistics(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")), "_t", ["doc_id"])
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), model.column(F.col("_stats")).alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Ensemble, text: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of `docs`, with all their columns, that the model scores at least `cut`."""
+    scored = with_statistics(docs, text, docs.columns)
+    return scored.where(model.column(F.col("_stats")) >= cut).select(*docs.columns)

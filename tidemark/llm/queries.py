@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, flac, ngram_join, packing, quality, sharding, warc
+from tidemark.llm import bpe, flac, hamming, licences, ngram_join, packing, pii, quality, sharding, warc
+
+
+#: Stands in for the key that a real run keeps to itself.
+PII_KEY = b"tidemark: replace this key in production"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +32,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_columns(table(spark, sf_dir, "documents"))
 
@@ -39,13 +52,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), room=2048)
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document lies in the directory of its language below that of its source."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.licence_documents(table(spark, sf_dir, "documents"), path)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_bpe, op6_flac, op7_warc, op8_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_bpe, op4_hamming, op5_pii, op6_flac, op7_warc, op8_packing, op9_licences, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
