@@ -70,8 +70,9 @@ def fold(log: DataFrame, initial: DataFrame | None = None) -> DataFrame:
         state = {} if start is None or start.empty else {(int(start.table_id.iloc[0]), int(start.key.iloc[0])): int(start.value.iloc[0])}
         frame = frame.sort_values("seq")
         rows = list(serial(frame[["seq", "table_id", "key", "op", "arg"]].itertuples(index=False, name=None), state))
-        out = pd.DataFrame(rows, columns=["seq", "table_id", "key", "abort", "effect", "value"])
-        return out.astype({"value": "Int64"})
+        out = pd.DataFrame([r[:5] for r in rows], columns=["seq", "table_id", "key", "abort", "effect"])
+        out["value"] = pd.array([r[5] for r in rows], dtype="Int64")  # never through floats
+        return out
 
     grouped = log.groupBy("table_id", "key")
     if initial is None:

@@ -60,7 +60,10 @@ class _Range(InputPartition):
 
 
 class FeedReader(DataSourceStreamReader):
-    """Reads (after, end] of an outcome table; offsets are {'seq': n} and batches hold at most maxRecords records."""
+    """Reads (after, end] of an outcome table; offsets are {'seq': n} and batches hold at most maxRecords records.
+
+    A consumer that restarts trusts its own view's position: it starts a new query from there by startingSequence.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -195,7 +198,8 @@ def drain(spark: SparkSession, outcomes: DataFrame, max_records: int = 1 << 20)
         return stored
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema.fields)
     feed = stream_feed(spark, source, schema, ends[1], ends[0] - 1, max_records)
-    query = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).start()
+    query.processAllAvailable()
+    query.stop()
     remove(spark, source)
     return spark.read.schema(stored.schema).parquet(out)
