@@ -6,6 +6,7 @@ import pytest
 from tidemark.functions import scalar as S
 from tidemark.functions.types import BOOL, I64, I64_MAX, I64_MIN, U64, U64_MAX, Bytes, Invalid, Rows, String, Tuple, Type, encoded_len, encoded_len_column, fits, key_bytes, key_hex_column
 from tidemark.operators import history as H
+from tidemark.operators import scans
 from tidemark.plans import replay as R
 from tidemark.plans.program import Aborted, Program, Scope, admit, abort, apply_op, arg, assign, const, delete, execute, exists, insert, let, load, op, require, ret, scan, scopes, store, update, validate, var, when
 from tidemark.streaming import feed
@@ -151,8 +152,9 @@ def test_scopes():
     assert scopes(joined) == {Scope("t", 1, None, 1)}
 
 
-@pytest.mark.parametrize("seed", [17, 91, 831])
-def test_random_logs_agree_with_the_serial_referee(spark, seed):
+@pytest.mark.parametrize(("seed", "width"), [(17, 7), (91, 50), (831, 1 << 20)])
+def test_random_logs_agree_with_the_serial_referee(spark, seed, width, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK", width)
     rng = random.Random(seed)
     ops = ["store", "delete", "insert", "add", "load"]
     log = [(n, rng.randint(1, 2), rng.randint(1, 5), rng.choice(ops), rng.choice([1, 5, -7, I64_MAX, I64_MIN, I64_MAX - 3])) for n in range(1, 200)]
@@ -169,7 +171,8 @@ def test_random_logs_agree_with_the_serial_referee(spark, seed):
     assert {(r["table_id"], r["key"]): r["value"] for r in R.state_after(R.replay(df)).collect()} == state
 
 
-def test_levels_follow_the_edges(spark):
+def test_levels_follow_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK", 10)
     rng = random.Random(5)
     log = [(n, 1, rng.randint(1, 3), rng.choice(["store", "delete", "insert", "add", "load"]), 1) for n in range(1, 60)]
     df = spark.createDataFrame(log, "seq bigint, table_id bigint, key bigint, op string, arg bigint")
@@ -221,3 +224,17 @@ def test_history_checks_find_what_is_wrong(spark):
     other = log.selectExpr("table_id", "key", "seq", "is_delete", "case when seq = 9 then 7 else value end as value")
     assert [r["seq"] for r in H.effects_without_version(other, log).collect()] == [9]
     assert H.snapshot(log.limit(0), 9).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 1000])
+def test_asof_in_blocks(spark, width, monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK", width)
+    rng = random.Random(2)
+    log = [(1, rng.randint(1, 3), n, rng.random() < 0.3, n) for n in range(1, 60)]
+    df = spark.createDataFrame(log, "table_id bigint, key bigint, seq bigint, is_delete boolean, value bigint")
+    want = {}
+    for _, k, n, _, _ in log:
+        older = [r for r in log if r[1] == k and r[2] < n]
+        want[n] = (older[-1][2], older[-1][3], older[-1][4]) if older else (None, None, None)
+    got = {r["seq"]: (r["prior_seq"], *(r["prior"] or (None, None))) for r in H.asof_prior(df.select("table_id", "key", "seq"), df).collect()}
+    assert got == want

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import blocked, running
+
 ADDRESS = ("table_id", "key")
 #: What an entry of the overlay counts for besides its key and value.
 ENTRY_BYTES = 9
@@ -84,14 +86,14 @@ def overlay_merge(base: DataFrame, overlay: DataFrame, address: Sequence[str] =
 def asof_prior(reads: DataFrame, log: DataFrame, address: Sequence[str] = ADDRESS) -> DataFrame:
     """Each read (address, seq, ...) with the newest version of its address strictly before it: prior_seq, prior.
 
-    prior is the struct (is_delete, value), null where no version is older. Versions and reads are sorted together by
-    address, so a hot address streams through one sorted window without being held.
+    prior is the struct (is_delete, value), null where no version is older. Versions and reads run together along each
+    address, block by block, so a hot address is neither held nor sorted by one task.
     """
     extra = [c for c in reads.columns if c not in (*address, "seq")]
     v = log.select(*address, "seq", F.lit(False).alias("_read"), F.struct(F.col("seq").alias("s"), "is_delete", "value").alias("_v"), *[F.lit(None).cast(reads.schema[c].dataType).alias(c) for c in extra])
     r = reads.select(*address, "seq", F.lit(True).alias("_read"), F.lit(None).cast(v.schema["_v"].dataType).alias("_v"), *extra)
-    before = Window.partitionBy(*address).orderBy(F.col("seq"), F.desc("_read")).rowsBetween(Window.unboundedPreceding, -1)
-    both = v.unionByName(r).withColumn("_p", F.last("_v", ignorenulls=True).over(before)).where("_read")
+    # of equal sequences the read comes first, so it doesn't see its own version
+    both = running(blocked(v.unionByName(r).withColumn("_turn", (~F.col("_read")).cast("int"))), address, {"_p": ("last", F.col("_v"))}, ("seq", "_turn")).where("_read")
     return both.select(*address, "seq", *extra, F.col("_p.s").alias("prior_seq"), F.when(F.col("_p").isNotNull(), F.struct(F.col("_p.is_delete").alias("is_delete"), F.col("_p.value").alias("value"))).alias("prior"))
 
 
@@ -172,11 +174,10 @@ def dependencies(accesses: DataFrame) -> DataFrame:
 
 def writers_before(accesses: DataFrame, address: Sequence[str] = ADDRESS) -> DataFrame:
     """For each reader with point scopes: how many earlier writers it waits for, and the first and last of them. The same
-    as counting its edges, without making them, so a hot key costs one sort rather than the square of its accesses."""
-    before = Window.partitionBy(*address).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    as counting its edges, without making them, so a hot key costs its accesses rather than their square."""
     w = F.when(F.col("writes"), F.col("seq"))
-    out = accesses.select("seq", *address, "reads", F.count(w).over(before).alias("n_writers"), F.min(w).over(before).alias("first_writer"), F.max(w).over(before).alias("last_writer"))
-    return out.where("reads").drop("reads")
+    out = running(blocked(accesses), address, {"n_writers": ("count", w), "first_writer": ("min", w), "last_writer": ("max", w)})
+    return out.where("reads").select("seq", *address, "n_writers", "first_writer", "last_writer")
 
 
 def effects_without_version(effects: DataFrame, log: DataFrame) -> DataFrame:

@@ -15,13 +15,15 @@ per address, else that address goes to the fold), `fold` (the interpreter, addre
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import INTEGER_OVERFLOW, KEY_EXISTS, MISSING_KEY
 from tidemark.functions.types import I64_MAX, I64_MIN
+from tidemark.operators.scans import blocked, running
 
 READS, WRITES = ("insert", "add", "load"), ("store", "delete", "insert", "add")
 OUTCOME = "seq long, table_id long, key long, abort int, effect string, value long"
@@ -81,27 +83,28 @@ def fold(log: DataFrame, initial: DataFrame | None = None) -> DataFrame:
 
 
 def algebraic(log: DataFrame) -> DataFrame:
-    """Outcomes by windows: whether an address is there follows from the last store, insert or delete (an insert leaves it
-    there whether or not it aborts), and its value is the last reset's plus the adds since. An address that comes near
-    the 64-bit range goes to the fold instead, since an overflow's abort changes what follows."""
-    w = Window.partitionBy("table_id", "key").orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    op = F.col("op")
+    """Outcomes by running values: whether an address is there follows from the last store, insert or delete (an insert
+    leaves it there whether or not it aborts), and its value is the last reset's plus what was added since. All of them
+    run block by block (operators.scans), so a hot address is spread over tasks. An address that leaves the 64-bit range
+    goes to the fold instead, since an overflow's abort changes what follows."""
+    at, op = ("table_id", "key"), F.col("op")
     sets = F.when(op.isin("store", "insert"), True).when(op == "delete", False)
-    rows = log.withColumn("_there", F.coalesce(F.last(sets, ignorenulls=True).over(before), F.lit(False)))
+    rows = running(blocked(log.select("seq", *at, "op", "arg")), at, {"_was": ("last", sets)})
+    rows = rows.withColumn("_there", F.coalesce("_was", F.lit(False)))
+    wide = "decimal(38,0)"
     resets = op.isin("store", "delete") | ((op == "insert") & ~F.col("_there"))
-    rows = rows.withColumn("_run", F.sum(resets.cast("int")).over(w)).withColumn("_reset", resets)
-    big = F.when(resets | ((op == "add") & F.col("_there")), F.col("arg").cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
-    within = Window.partitionBy("table_id", "key", "_run").orderBy("seq")
-    rows = rows.withColumn("_value", F.sum(F.when(op == "delete", 0).otherwise(big)).over(within))
-    whole = Window.partitionBy("table_id", "key")
-    limit = F.lit(I64_MAX).cast("decimal(38,0)")
-    rows = rows.withColumn("_far", F.max(F.abs("_value")).over(whole) > limit)
-    there, value = F.col("_there"), F.when(~F.col("_far"), F.col("_value")).cast("bigint")
+    adds = F.when((op == "add") & F.col("_there"), F.col("arg").cast(wide)).otherwise(F.lit(0).cast(wide))
+    rows = running(rows.withColumn("_adds", adds), at, {"_added": ("sum", F.col("_adds"))}, inclusive=True)
+    base = F.when(resets, F.when(op == "delete", F.lit(0).cast(wide)).otherwise(F.col("arg").cast(wide)) - F.col("_added"))
+    rows = running(rows, at, {"_base": ("last", base)}, inclusive=True)
+    rows = rows.withColumn("_value", (F.coalesce("_base", F.lit(0).cast("decimal(38,0)")) + F.col("_added")).cast(wide))
+    far = rows.groupBy(*at).agg(F.max(F.abs("_value")).alias("_most")).where(F.col("_most") > F.lit(Decimal(I64_MAX)).cast(wide)).select(*at)
+    near = rows.join(far, list(at), "left_anti")
+    there, value = F.col("_there"), F.expr("try_cast(_value as bigint)")
     abort = F.when((op == "insert") & there, KEY_EXISTS).when(op.isin("add", "load") & ~there, MISSING_KEY).otherwise(0)
     effect = F.when(abort != 0, None).when(op == "delete", "delete").when(op == "load", None).otherwise("put")
-    done = rows.where(~F.col("_far")).select("seq", "table_id", "key", abort.alias("abort"), effect.alias("effect"), F.when((abort == 0) & (op != "delete"), value).alias("value"))
-    return done.unionByName(fold(rows.where("_far").select("seq", "table_id", "key", "op", "arg")))
+    done = near.select("seq", *at, abort.alias("abort"), effect.alias("effect"), F.when((abort == 0) & (op != "delete"), value).alias("value"))
+    return done.unionByName(fold(log.join(far, list(at), "left_semi").select("seq", "table_id", "key", "op", "arg")))
 
 
 def replay(log: DataFrame, strategy: str = "algebraic") -> DataFrame:
@@ -117,10 +120,10 @@ def state_after(outcomes: DataFrame) -> DataFrame:
 def levels(log: DataFrame) -> DataFrame:
     """The wave of each record: 0 if it waits for no earlier writer, else one more than the highest of those it waits for.
     Of one address, only a record that both reads and writes raises the wave of later readers."""
-    w = Window.partitionBy("table_id", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    reads, writes = F.col("op").isin(*READS), F.col("op").isin(*WRITES)
-    first = F.min(F.when(writes, F.col("seq"))).over(w)
+    at, reads, writes = ("table_id", "key"), F.col("op").isin(*READS), F.col("op").isin(*WRITES)
+    rows = running(blocked(log), at, {"_first": ("min", F.when(writes, F.col("seq")))})
     # both reading and writing, and behind a writer: each such record is a wave of its own
-    climbs = log.withColumn("_behind", first.isNotNull()).withColumn("_climbs", (reads & writes & F.col("_behind")).cast("int"))
-    level = F.when(reads & F.col("_behind"), 1 + F.coalesce(F.sum("_climbs").over(w), F.lit(0))).otherwise(0)
-    return climbs.select("seq", level.cast("bigint").alias("level"))
+    climbs = (reads & writes & F.col("_first").isNotNull()).cast("int")
+    rows = running(rows, at, {"_climbed": ("sum", climbs)})
+    level = F.when(reads & F.col("_first").isNotNull(), 1 + F.col("_climbed")).otherwise(0)
+    return rows.select("seq", level.cast("bigint").alias("level"))
