@@ -188,7 +188,7 @@ def pack(df: DataFrame, room: int = 2048, key: str = "doc_id", text: str = "text
     """
     groups = max(1, math.ceil(df.count() / DOCS_PER_GROUP))
     pieces = tokenized(df, room, key, text, json_name, ranks_name, end_id)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "ids_crc32", "length"], kind="stable", ignore_index=True)
