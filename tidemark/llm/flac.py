@@ -46,14 +46,6 @@ class Damaged(ValueError):
     """A stream that breaks the format, or whose checksums don't hold."""
 
 
-def crc8(data: np.ndarray) -> np.ndarray:
-    """Of each row of bytes."""
-    c = np.zeros(len(data), dtype=np.uint32)
-    for j in range(data.shape[1]):
-        c = CRC8[(c ^ data[:, j]) & 0xFF]
-    return c
-
-
 def crc16(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Of the first `lengths` bytes of each row. Rows are right-aligned behind zeros, which leave the CRC at 0."""
     width = rows.shape[1]
