@@ -217,8 +217,8 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     reps = ws.table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "reps")
     entries = _entries(docs, id_bitmap(reps, "rep"), levels, hot, n, bits, num, den)
     # A hot shingle's entries need no group of their own: each stands alone here, and meets its pivot by a join.
-    whole = Window.partitionBy("token", F.when(F.col("hot"), F.col("id")))
-    kept = entries.withColumn("_n", F.count("*").over(whole)).withColumn("_p", F.min(F.struct("id", "size", "pos")).over(whole)).where("hot or _n > 1").drop("_n")
+    whole = Window.partitionBy("token", "_alone")
+    kept = entries.withColumn("_alone", F.when(F.col("hot"), F.col("id"))).withColumn("_n", F.count("*").over(whole)).withColumn("_p", F.min(F.struct("id", "size", "pos")).over(whole)).where("hot or _n > 1").drop("_n", "_alone")
     kept = ws.table(kept, "kept")
     often = kept.where("hot")
     pivots = ws.table(often.groupBy("token").agg(F.min(F.struct("id", "size", "pos")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "pivots")
