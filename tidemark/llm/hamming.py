@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace, session
+from tidemark.llm.workspace import Workspace, least_hashes, session
 
 #: Vectors that the codes are learned from, at most: those with the smallest hashes of their ids.
 SAMPLE = 8192
@@ -133,7 +133,7 @@ def neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     if shape is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == shape["d"])
-    few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    few = least_hashes(rows, "vec_id", sample, shape["n"]).toPandas()
     codes = learn(np.stack(few["v"]), shape["top"], k)
     known = spark.sparkContext.broadcast(codes)
 
