@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import session
+from tidemark.llm.workspace import least_hashes, session
 
 #: Labelled rows that the fit reads at most; beyond it, those with the smallest hashes of their ids are taken.
 SAMPLE = 20_000
@@ -196,7 +196,8 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Ensemble:
     """Fits on at most `sample` labelled rows that are not held out."""
     rows = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
-    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y"))
+    rows = least_hashes(rows, "_id", sample, rows.count())
     some = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(rows), "_id")
     got = with_statistics(some, "_text", ["_id", "_y"]).select("_id", "_y", "_stats.*").toPandas().sort_values(["_id", *STATS], ignore_index=True)
     return fit(got[list(STATS)].to_numpy(), got["_y"].to_numpy())
