@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -93,6 +94,19 @@ def card(value: str, key: bytes, back: bool) -> str | None:
     return _refill(value, str.isdigit, body + str(luhn(body)))
 
 
+#: Least and most digits of a number after the country code, where the plan of the country is narrow.
+NATIONAL = {"1": (10, 10), "7": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "52": (10, 10), "55": (10, 11), "61": (9, 9), "81": (9, 10), "86": (10, 11), "91": (10, 10)}
+
+
+def whole_phone(value: str) -> bool:
+    """Whether the digits are as many as the country's numbers have, or stand in one piece."""
+    code = re.match(r"\+(\d{1,3})(?=\D)", value)
+    if not code:
+        return bool(re.fullmatch(r"\+\d{8,15}", value))
+    least, most = NATIONAL.get(code[1], (1, 0))
+    return least <= len(_digits(value)) - len(code[1]) <= most
+
+
 def phone(value: str, key: bytes, back: bool) -> str | None:
     d = _digits(value)
     code = ""
@@ -105,7 +119,8 @@ def phone(value: str, key: bytes, back: bool) -> str | None:
     if not 7 <= len(rest) <= 12 or len(set(rest)) == 1:
         return None
     lows = [2 if code in ("", "1") and len(rest) == 10 and k in (0, 3) and rest[k] >= "2" else 1 if k == 0 and rest[0] != "0" else 0 for k in range(len(rest))]
-    new = permute_symbols([int(c) - low for c, low in zip(rest, lows, strict=True)], [10 - low for low in lows], key, "phone" + code, back)
+    tweak = "1" if len(rest) == 10 and not code else code  # a number with and without its 1 is the same one
+    new = permute_symbols([int(c) - low for c, low in zip(rest, lows, strict=True)], [10 - low for low in lows], key, "phone" + tweak, back)
     return _refill(value, str.isdigit, code + "".join(str(v + low) for v, low in zip(new, lows, strict=True)))
 
 
@@ -120,8 +135,11 @@ def ssn(value: str, key: bytes, back: bool) -> str | None:
 def ipv4(value: str, key: bytes, back: bool) -> str | None:
     parts = value.split(".")
     octets = [int(p) for p in parts]
-    if max(octets) > 255 or any(p != str(o) for p, o in zip(parts, octets, strict=True)) or octets[0] in (0, 127) or octets[0] > 223:
+    if max(octets) > 255 or any(p != str(o) for p, o in zip(parts, octets, strict=True)) or octets[0] in (0, 127):
         return None
+    if octets[0] > 223:  # multicast and reserved addresses stay such
+        first, *rest = permute_symbols([octets[0] - 224, *octets[1:]], [32, 256, 256, 256], key, "ipv4 from 224", back)
+        return ".".join(map(str, [first + 224, *rest]))
     first = octets[0] - 1 - (octets[0] > 127)
     first, *rest = permute_symbols([first, *octets[1:]], [222, 256, 256, 256], key, "ipv4", back)
     return ".".join(map(str, [first + 1 + (first + 1 >= 127), *rest]))
@@ -181,6 +199,12 @@ def email(value: str, key: bytes, back: bool) -> str | None:
 def secret(value: str, key: bytes, back: bool) -> str | None:
     if re.fullmatch(r"[0-9a-f]+", value):
         return "".join("0123456789abcdef"[v] for v in permute_symbols([int(c, 16) for c in value], [16] * len(value), key, "secret", back))
+    if len(value) >= 32 and re.fullmatch(r"[0-9A-Fa-f]+", value):
+        if value == value.upper():
+            return secret(value.lower(), key, back).upper()
+        kinds = [("0", 10) if c.isdigit() else ("a", 6) if c >= "a" else ("A", 6) for c in value]
+        new = permute_symbols([ord(c) - ord(k) for c, (k, _) in zip(value, kinds, strict=True)], [n for _, n in kinds], key, "secret", back)
+        return "".join(chr(ord(k) + v) for v, (k, _) in zip(new, kinds, strict=True))
     return _letters(value, key, "secret", back)
 
 
@@ -189,40 +213,63 @@ class Kind:
     name: str
     pattern: str
     change: Callable[[str, bytes, bool], str | None]
+    #: Of several ends at group borders, those for which this holds are tried first.
+    whole: Callable[[str], bool] = lambda value: True
 
 
-#: In order: where several could begin at one place, the first that validates is taken.
+#: In order: where several could begin at one place, the first that validates is taken. Cards in one piece or in the
+#: groups they are embossed with come before all other numbers, cards in other groups after them.
 KINDS = (
     Kind("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
     Kind("secret", r"(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=token=)|(?<=api_key=)|(?<=apikey=))[A-Za-z0-9_+/=.-]{8,}(?<![.=])", secret),
     Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", lambda v, k, b: v[:4] + secret(v[4:], k, b)),
-    Kind("secret", r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])", secret),
+    Kind("secret", r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])", secret),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     Kind("date", r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])", date),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
     Kind("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ipv4),
-    Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", card),
-    Kind("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])", phone),
+    Kind("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?![0-9])", card),
+    Kind("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])", phone, whole_phone),
     Kind("phone", r"(?<![0-9A-Za-z(])(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", phone),
+    Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", card),
 )
 #: A text without these holds none of the kinds.
 TRACE = re.compile(r"[0-9@]|passw|secret=|token=|api_?key=|AKIA|gh[pousr]_")
 _COMPILED = tuple((k, re.compile(k.pattern)) for k in KINDS)
 
 
+def _ends(text: str, pattern: re.Pattern, start: int, end: int, limit: int, whole: Callable[[str], bool]) -> list[int]:
+    """Where a value that begins at `start` may end: at `end` or at a group border before it, up to `limit`, longest first."""
+    ends = [end] + [p for p in range(min(end, limit + 1) - 1, start, -1) if text[p - 1].isalnum() and not text[p].isalnum() and (m := pattern.match(text, start, p)) and m.end() == p]
+    return sorted(ends, key=lambda p: not whole(text[start:p]))
+
+
 def find(text: str, key: bytes, back: bool = False) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, pseudonym) of the personal values of a whole text, in order and without overlaps."""
+    """(kind, start, end, pseudonym) of the personal values of a whole text, in order and without overlaps.
+
+    Where a span fails its validation or overlaps a value found before, its shorter spans up to a group border are tried,
+    then those that begin later."""
     if not TRACE.search(text):
         return []
-    found, taken = [], []
+    found, taken = [], []  # taken: by start
     for kind, pattern in _COMPILED:
-        for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e in taken):
+        at, mine = 0, []
+        while m := pattern.search(text, at):
+            start, at = m.start(), m.start() + 1
+            k = bisect_right(taken, (start, len(text)))
+            if k and taken[k - 1][1] > start:
+                at = taken[k - 1][1]
                 continue
-            new = kind.change(m[0], key, back)
-            if new is not None and new != m[0]:
-                found.append((kind.name, m.start(), m.end(), new))
-        taken = [(s, e) for _, s, e, _ in found]
+            limit = taken[k][0] if k < len(taken) else len(text)
+            first = kind.change(m[0], key, back) if m.end() <= limit and kind.whole(m[0]) else None
+            tries = [(m.end(), first)] if first not in (None, m[0]) else ((e, kind.change(text[start:e], key, back)) for e in _ends(text, pattern, start, m.end(), limit, kind.whole) if e <= limit)
+            for end, new in tries:
+                if new is not None and new != text[start:end]:
+                    mine.append((start, end))
+                    found.append((kind.name, start, end, new))
+                    at = end
+                    break
+        taken = sorted(taken + mine)
     return sorted(found, key=lambda f: f[1])
 
 
