@@ -1,5 +1,6 @@
 """Neighbours, pseudonyms, licences, quality, and the pipeline."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -153,6 +154,31 @@ def test_licences(spark):
     assert licences.licence_documents(df.limit(0), F.col("where")).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """Hard-wrapped texts of licences are files, of the right licence, at any width; below a header they are not."""
+    texts = dict(licences.WHOLE_TEXTS)
+    assert "Remote Network Interaction" in texts["AGPL-3.0"] and "endorse" not in texts["BSD-2-Clause"]
+    rows, want = [], {}
+    code = "\n".join(f"def f{k}(a{k}):\n    return a{k} + {k}" for k in range(60))
+
+    def add(where, text, *answer):
+        want[len(rows)] = answer
+        rows.append((len(rows), where, text))
+
+    for name, text in texts.items():
+        for width in (50, 72, 100):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            add(f"{name}/{width}/LICENSE", f"Copyright (c) 2019 Jane Roe and others\n\n{wrapped}\n", name, "file")
+            add(f"{name}/{width}/src/x.txt", "prose", name, "inherited")
+    for name in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC"):
+        add(f"h/{name}.py", textwrap.indent(texts[name], "# ") + code, name, "header")
+    add("h/y.txt", "prose", None, None)
+    for k in range(300):
+        add(f"other/{k}.txt", "The people of the town and its other parts were free to use the copy that is theirs.", None, None)
+    got = {r["doc_id"]: (r["licence"], r["how"]) for r in licences.licence_documents(spark.createDataFrame(rows, "doc_id bigint, where string, text string"), F.col("where")).collect()}
+    assert {k: (rows[k][1], got[k]) for k in want if got[k] != want[k]} == {}
+
+
 def test_every_template_finds_itself():
     counts = np.zeros(licences.SLOTS)
     counts[licences.SLOTS - 1] = 1000

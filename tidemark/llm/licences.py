@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,30 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 )
+
+
+def _whole_texts() -> tuple[tuple[str, str], ...]:
+    """The whole texts of licences, as their files have them."""
+    names = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0")
+    texts = {n: pkgutil.get_data(__name__, f"licence_texts/{n}.txt").decode() for n in names}
+    # the two that follow are others' texts but for a clause
+    texts["BSD-2-Clause"] = re.sub(r"3\. Neither.*?permission\.\n", "", texts["BSD-3-Clause"], flags=re.DOTALL)
+    remote = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this
+License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely
+through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source
+of your version by providing access to the Corresponding Source from a network server at no charge, through some standard
+or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source
+for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following
+paragraph.\n\n"""
+    affero = re.sub(r"(?i)GNU General Public License", "GNU Affero General Public License", texts["GPL-3.0"])
+    texts["AGPL-3.0"] = re.sub(r"13\. Use with the.*?(?=  Notwithstanding)", remote, affero, flags=re.DOTALL)
+    return tuple(texts.items())
+
+
+WHOLE_TEXTS = _whole_texts()
 #: Least cosine of a match.
 LEAST = 0.7
-#: A document is a licence file if its matches make up at least this share of its words.
+#: A document is a licence file if it matches as a whole, or if its best notice makes up at least this share of its words.
 FILE_SHARE = 0.5
 #: What every notice above holds some word of; blocks without are passed over.
 CUE = re.compile(r"licen[sc]e|permission|redistribut|public domain|subject to the terms|free software", re.IGNORECASE)
@@ -62,32 +84,35 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = {t: k for k, t in enumerate(sorted({t for _, text in TEMPLATES for t in terms(text)}))}
-#: Single words of the vocabulary, of which the documents that hold them are counted.
-WORDS = frozenset(t for t in VOCABULARY if " " not in t)
-#: Counters: one for each vocabulary word, and the documents in the last one.
-SLOTS = 1 << (len(VOCABULARY) + 1).bit_length()
+WHOLE_VOCABULARY = {t: k for k, t in enumerate(sorted({t for _, text in WHOLE_TEXTS for t in terms(text)}))}
+#: Counter of each single word of the vocabularies, of which the documents that hold them are counted.
+SLOT = {t: k for k, t in enumerate(sorted(t for t in {*VOCABULARY, *WHOLE_VOCABULARY} if " " not in t))}
+WORDS = frozenset(SLOT)
+#: Counters: one for each word, and the documents in the last one.
+SLOTS = 1 << (len(SLOT) + 1).bit_length()
 
 
 class Templates:
     """Unit TF-IDF vectors of the templates, as a term-by-template matrix."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, texts: Sequence[tuple[str, str]] = TEMPLATES, vocabulary: dict[str, int] = VOCABULARY):
+        self.texts, self.vocabulary = texts, vocabulary
         docs = float(counts[SLOTS - 1])
-        rare = lambda w: math.log((docs + 1) / (float(counts[VOCABULARY[w]]) + 1)) + 1
+        rare = lambda w: math.log((docs + 1) / (float(counts[SLOT[w]]) + 1)) + 1
         of = lambda t: sum(map(rare, t.split(" "))) / len(t.split(" "))
-        self.idf = np.array([of(t) for t in VOCABULARY])
+        self.idf = np.array([of(t) for t in vocabulary])
         self.unknown = math.log(docs + 1) + 1
-        self.matrix = np.zeros((len(TEMPLATES), len(VOCABULARY)))
-        for k, (_, text) in enumerate(TEMPLATES):
+        self.matrix = np.zeros((len(texts), len(vocabulary)))
+        for k, (_, text) in enumerate(texts):
             for t, n in Counter(terms(text)).items():
-                self.matrix[k, VOCABULARY[t]] = n * self.idf[VOCABULARY[t]]
+                self.matrix[k, vocabulary[t]] = n * self.idf[vocabulary[t]]
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
 
     def match(self, text: str) -> tuple[str, float]:
         """The best template's licence and the cosine; words outside the vocabulary count towards the length."""
         at, weights, rest = [], [], 0.0
         for t, n in Counter(terms(text)).items():
-            k = VOCABULARY.get(t)
+            k = self.vocabulary.get(t)
             if k is None:
                 rest += (n * self.unknown) ** 2 if " " not in t else 0.0
             else:
@@ -98,7 +123,18 @@ class Templates:
         w = np.array(weights)
         scores = self.matrix[:, at] @ w / math.sqrt(float(w @ w) + rest)
         best = int(scores.argmax())
-        return TEMPLATES[best][0], float(scores[best])
+        return self.texts[best][0], float(scores[best])
+
+
+def may_match(text: str, vocabulary: dict[str, int], least: float) -> bool:
+    """Whether a cosine of `least` is possible at all: no term weighs more than one outside the vocabulary does."""
+    known = rest = 0
+    for t, n in Counter(terms(text)).items():
+        if t in vocabulary:
+            known += n * n
+        elif " " not in t:
+            rest += n * n
+    return known >= least**2 * (known + rest)
 
 
 def blocks(text: str) -> list[str]:
@@ -115,15 +151,29 @@ def blocks(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def wholes(text: str) -> Iterator[str]:
+    """What may be the whole text of a licence inside another one: runs of parts from a cue on, half a run apart."""
+    parts = [p for p in TURN.split(text) if p.strip()]
+    cues = [k for k, p in enumerate(parts) if CUE.search(p)]
+    for n in (4, 8, 16, 32):
+        last = -n
+        for k in cues:
+            if k - last >= n // 2:
+                yield " ".join(parts[k : k + n])
+                last = k
+
+
 def scan(df: DataFrame, ws: Workspace, key: str, path: Column, text: str, least: float) -> DataFrame:
     """One row per document with a notice: doc_id, path, licence, score, is_file.
 
     One pass over the texts counts in how many documents each vocabulary word stands (all documents) and keeps the
-    blocks with a cue; a second pass over those blocks scores them.
+    blocks with a cue, and the whole of a text that may match as such or hold a licence's whole text; a second pass over
+    those scores them. What matches as a whole is a licence file, of that licence; then come the whole texts of licences
+    inside a document, then notices.
     """
-    schema = f"doc_id long, path string, words long, block array<string>, {PARTIAL_SUMS}"
+    schema = f"doc_id long, path string, words long, block array<string>, whole string, {PARTIAL_SUMS}"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64(), pa.binary())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = SlotCounter(SLOTS)
@@ -132,14 +182,15 @@ def scan(df: DataFrame, ws: Workspace, key: str, path: Column, text: str, least:
             for doc, where, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 t = x.as_py() or ""
                 words = t.lower().split()
-                slots += [VOCABULARY[w] for w in {w.strip(".,;:()\"'") for w in set(words)} & WORDS]
+                slots += [SLOT[w] for w in {w.strip(".,;:()\"'") for w in set(words)} & WORDS]
                 slots.append(SLOTS - 1)
                 if found := blocks(t):
-                    rows.append((doc, where, len(words), found, None, None, None))
+                    keep = may_match(t, VOCABULARY, least) or may_match(t, WHOLE_VOCABULARY, least) or any(may_match(w, WHOLE_VOCABULARY, least) for w in wholes(t))
+                    rows.append((doc, where, len(words), found, t if keep else None, None, None, None))
             counter.add(np.array(slots, dtype=np.int64))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        sums = [(None, None, None, None, *r) for r in counter.rows()]
+        sums = [(None, None, None, None, None, *r) for r in counter.rows()]
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*sums, strict=True), kinds, strict=True)], names)
 
@@ -149,10 +200,19 @@ def scan(df: DataFrame, ws: Workspace, key: str, path: Column, text: str, least:
     templates = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates.value)
+        known, full = Templates(templates.value), Templates(templates.value, WHOLE_TEXTS, WHOLE_VOCABULARY)
         for batch in batches:
             rows = []
-            for doc, where, words, found in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "path", "words", "block")], strict=True):
+            for doc, where, words, found, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "path", "words", "block", "whole")], strict=True):
+                if text is not None:
+                    licence, value = max(known.match(text), full.match(text), key=lambda m: m[1])
+                    if value >= least:
+                        rows.append((doc, where, licence, value, True))
+                        continue
+                    licence, value = max((full.match(w) for w in wholes(text)), key=lambda m: m[1])
+                    if value >= least:
+                        rows.append((doc, where, licence, value, False))
+                        continue
                 best = max(((*known.match(b)[::-1], b) for b in found), key=lambda s: (s[0], -len(s[2]), s[1]))
                 if best[0] >= least:
                     rows.append((doc, where, best[1], best[0], len(best[2].split()) >= FILE_SHARE * words))
@@ -160,7 +220,7 @@ def scan(df: DataFrame, ws: Workspace, key: str, path: Column, text: str, least:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "path", "licence", "score", "is_file"])
 
-    some = gathered.where("sums is null").select("doc_id", "path", "words", "block")
+    some = gathered.where("sums is null").select("doc_id", "path", "words", "block", "whole")
     return ws.table(some.mapInArrow(score, "doc_id long, path string, licence string, score double, is_file boolean"), "scored")
 
 
@@ -173,8 +233,9 @@ def ancestors(path: Column) -> Column:
 def licence_documents(df: DataFrame, path: Column, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per input row: doc_id, licence, score, how ('file', 'header', 'inherited' or null), from_dir.
 
-    A document's own notice comes first: of its blocks, the one of largest cosine to a template, from `least` on (ties
-    to the shorter block, then the later name). Documents without one inherit from the licence files in the nearest
+    A document's own licence comes first: that of its whole text, if its cosine to a template or a licence's whole text
+    reaches `least`; else that of a licence's whole text inside it; else of its blocks, the one of largest cosine to a
+    template (ties to the shorter block, then the later name). Documents without one inherit from the licence files in the nearest
     directory above them that has any; of several there, the best match counts (ties to the smaller id). Directories
     are joined by path: each document meets one row per directory above it, never other documents. Null texts and paths
     have no notice and no directory; rows that share an id share its best notice; repeated rows are kept; other columns
