@@ -193,6 +193,21 @@ def test_table_scopes_overlap_points(spark):
     assert sorted(tuple(r) for r in H.dependencies(acc).collect()) == [(1, 2), (3, 4)]
 
 
+def test_edges_are_counted_over_the_whole_log(spark, monkeypatch):
+    """Also from a writer in one block of the log to a reader in a later one, such as 499 and 500."""
+    from tidemark.operators import scans
+
+    monkeypatch.setattr(scans, "BLOCK", 64)
+    rng = random.Random(5)
+    log = [(n, rng.randint(1, 3), kind := int(rng.random() < 0.2), -1 if kind else rng.randint(0, 9), (reads := rng.random() < 0.5), not reads or rng.random() < 0.1) for n in range(600)]
+    log += [(1499, 9, 0, 1, False, True), (1500, 9, 0, 1, True, False), (1501, 9, 0, 2, True, False), (1502, 9, 1, -1, True, False)]
+    acc = spark.createDataFrame(log, "seq bigint, table_id bigint, kind int, key bigint, reads boolean, writes boolean")
+    want = {r["dst"]: r["count"] for r in H.dependencies(acc).groupBy("dst").count().collect()}
+    got = {r["seq"]: r["n_writers"] for r in H.edges_before(acc).collect()}
+    assert got == {n: want.get(n, 0) for n, _, _, _, reads, _ in log if reads}
+    assert (got[1500], got[1501], got[1502]) == (1, 0, 1)
+
+
 def test_feed_positions(spark, tmp_path):
     rows = spark.createDataFrame([(n, 1, n % 3, "put" if n % 4 else "delete", n * 10 if n % 4 else None) for n in range(1, 21)], "seq bigint, table_id bigint, key bigint, effect string, value bigint")
     view = feed.DerivedView(spark, str(tmp_path / "view"))

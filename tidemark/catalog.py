@@ -316,9 +316,9 @@ def write_set_accounting(spark, d):
 _SCOPES = "s AS (SELECT event_id // 20 AS tx, user_id % 3 AS table_id, CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 1 ELSE 0 END AS kind, CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN -1 ELSE user_id % 10 END AS key, CASE WHEN event_type IN ('view', 'signup') THEN 1 ELSE 2 END AS mode FROM events)"
 
 
-def _scopes(spark, d):
+def _scopes(spark, d, *more):
     whole = (F.col("event_type") == "view") & (F.col("event_id") % 4 == 0)
-    return _table(spark, d, "events").select(F.floor(F.col("event_id") / 20).alias("tx"), (F.col("user_id") % 3).alias("table_id"), F.when(whole, 1).otherwise(0).alias("kind"), F.when(whole, F.lit(-1).cast("bigint")).otherwise(F.col("user_id") % 10).alias("key"), F.when(F.col("event_type").isin("view", "signup"), 1).otherwise(2).cast("bigint").alias("mode"))
+    return _table(spark, d, "events").select(F.floor(F.col("event_id") / 20).alias("tx"), (F.col("user_id") % 3).alias("table_id"), F.when(whole, 1).otherwise(0).alias("kind"), F.when(whole, F.lit(-1).cast("bigint")).otherwise(F.col("user_id") % 10).alias("key"), F.when(F.col("event_type").isin("view", "signup"), 1).otherwise(2).cast("bigint").alias("mode"), *more)
 
 
 @_query(f"WITH {_SCOPES}, g AS (SELECT tx, table_id, kind, key, CAST(bit_or(mode) AS BIGINT) AS mode FROM s GROUP BY ALL), w AS (SELECT tx, table_id, mode AS m FROM g WHERE kind = 1) SELECT tx, table_id, kind, key, mode & ~coalesce(m, 0) AS mode FROM g LEFT JOIN w USING (tx, table_id) WHERE kind = 0 AND mode & ~coalesce(m, 0) <> 0 UNION ALL SELECT tx, table_id, kind, key, mode FROM g WHERE kind = 1")
@@ -350,6 +350,14 @@ def dependency_edges(spark, d):
     return H.dependencies(acc).groupBy(F.floor((F.col("dst") - 2) / 500).alias("epoch")).agg(F.count("*").alias("edges"))
 
 
+@_query(f"WITH {_SCOPES.replace('event_id // 20 AS tx', 'event_id + 2 AS seq')}, t AS (SELECT *, sum(CASE WHEN mode = 2 THEN 1 ELSE 0 END) OVER e AS n_all, sum(CASE WHEN mode = 2 AND kind = 1 THEN 1 ELSE 0 END) OVER e AS n_wide, sum(CASE WHEN mode = 2 AND kind = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY table_id, key ORDER BY seq) AS n_key FROM s WINDOW e AS (PARTITION BY table_id ORDER BY seq)) SELECT seq, CAST(CASE WHEN kind = 1 THEN n_all ELSE n_wide + n_key END AS BIGINT) AS edges FROM t WHERE mode = 1")
+def dependency_edges_whole_log(spark, d):
+    """How many earlier writers each reader waits for over the whole log, whichever block they are in; dependency_edges
+    counts within blocks only."""
+    acc = _scopes(spark, d, F.col("event_id")).select((F.col("event_id") + 2).alias("seq"), "table_id", "kind", "key", (F.col("mode") == 1).alias("reads"), (F.col("mode") == 2).alias("writes"))
+    return H.edges_before(acc).select("seq", F.col("n_writers").alias("edges"))
+
+
 _LEVELS = f"""WITH RECURSIVE {_T}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM tx),
 l(key, i, seq, op, level, top) AS (SELECT key, i, seq, op, 0, CASE WHEN op = 'load' THEN -1 ELSE 0 END FROM n WHERE i = 1
  UNION ALL SELECT n.key, n.i, n.seq, n.op, CASE WHEN n.op IN ('insert','add','load') THEN l.top + 1 ELSE 0 END, CASE WHEN n.op = 'load' THEN l.top ELSE greatest(l.top, CASE WHEN n.op IN ('insert','add') THEN l.top + 1 ELSE 0 END) END FROM l JOIN n ON n.key = l.key AND n.i = l.i + 1)

@@ -180,6 +180,18 @@ def writers_before(accesses: DataFrame, address: Sequence[str] = ADDRESS) -> Dat
     return out.where("reads").select("seq", *address, "n_writers", "first_writer", "last_writer")
 
 
+def edges_before(accesses: DataFrame) -> DataFrame:
+    """For each reader: n_writers, how many earlier accesses with an overlapping scope may write: the number of its edges
+    in `dependencies`, of point and table scopes, without making them. One access a seq, with kind as there."""
+    point = F.when(F.col("writes") & (F.col("kind") == 0), F.col("seq"))
+    wide = F.when(F.col("writes") & (F.col("kind") == 1), F.col("seq"))
+    by_table = running(blocked(accesses), ["table_id"], {"_any": ("count", F.when(F.col("writes"), F.col("seq"))), "_wide": ("count", wide)}).where("reads").drop("_block")
+    tables = by_table.where("kind = 1").select("seq", "table_id", "kind", "key", F.col("_any").alias("n_writers"))
+    by_key = running(blocked(accesses.where("kind = 0")), ADDRESS, {"_same": ("count", point)}).where("reads").select("seq", "table_id", "key", "_same")
+    points = by_table.where("kind = 0").join(by_key, ["seq", "table_id", "key"])
+    return tables.unionByName(points.select("seq", "table_id", "kind", "key", (F.col("_wide") + F.col("_same")).alias("n_writers")))
+
+
 def effects_without_version(effects: DataFrame, log: DataFrame) -> DataFrame:
     """Effects whose exact version (address, seq, tombstone and value) the log lacks; must be empty. The other direction
     is the same with the arguments swapped."""
