@@ -59,6 +59,34 @@ def test_components_equal_brute_force(docs, seed, monkeypatch):
     assert got(docs(rows)) == brute(rows)
 
 
+def brute_links(rows):
+    """n_links of each row, and the pairs of different linked sets."""
+    nodes = {(i, frozenset(shingles(t))) for i, t in rows if i is not None and shingles(t)}
+    sets = {s for _, s in nodes}
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    mates = {s: [t for t in sets if linked(s, t)] for s in sets}
+    holders = {s: sum(t == s for _, t in nodes) for s in sets}
+    counts = [(i, None if i is None else sum(holders[t] for t in mates[s]) - 1 if (s := frozenset(shingles(x))) else 0) for i, x in rows]
+    rep = {s: min(i for i, t in nodes if t == s) for s in sets}
+    return sorted(counts, key=repr), sorted(tuple(sorted((rep[s], rep[t]))) for s in sets for t in mates[s] if s != t)[::2]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_link_counts(docs, odd, seed):
+    rows = corpus(seed, 160) + [(r["doc_id"], r["text"]) for r in odd.collect()]
+    rng = random.Random(seed)
+    rows += [(i + 5000, t) for i, t in rng.sample(rows[:160], 20)]  # exact copies
+    rows += [(rows[k][0], rows[k + 1][1]) for k in range(0, 24, 3)] + [(1, "a b c d e f g h")]  # ids with several texts
+    base = [f"b{k}" for k in range(120)]
+    rows += [(9000 + k, " ".join(base[:j] + ["new"] + base[j + 1 :])) for k, j in enumerate(rng.choices(range(120), k=40))]  # near copies
+    rows += rows[:10]
+    df = docs(rows)
+    counts, pairs = brute_links(rows)
+    assert sorted(((r["doc_id"], r["n_links"]) for r in ngram_join.join_documents(df, links=True).collect()), key=repr) == counts
+    assert sorted(tuple(r) for r in ngram_join.linked_pairs(df).collect()) == pairs and len(pairs) > 100
+    assert ngram_join.linked_pairs(docs([])).count() == 0
+
+
 def test_odd_rows(odd, docs):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(odd) == brute(rows)

@@ -158,7 +158,7 @@ def _entries(docs: DataFrame, wanted: np.ndarray, levels: np.ndarray, hot: int,
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id and its set, for the ids asked for (and what else passes the bitmap)."""
+    """id, its set and the set's fingerprint (f1, f2), for the ids asked for (and what else passes the bitmap)."""
     wanted = id_bitmap(ids, "id")
     known = docs.sparkSession.sparkContext.broadcast(wanted)
     wide = len(wanted).bit_length() - 1
@@ -172,10 +172,11 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 continue
             for some, texts in _groups(who[keep].tolist(), batch.column(1).take(pa.array(keep))):
                 sets = [h.view(np.int64) for h in shingler.sets(texts)]
+                prints = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), dtype=np.int64).reshape(-1, 2)
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["id", "set", "f1", "f2"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "id long, set array<long>")
+    return docs.where("doc_id is not null").mapInArrow(run, "id long, set array<long>, f1 long, f2 long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -186,12 +187,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return both.select("a", "b", F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).alias("overlap"))
 
 
-def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 75, den: int = 100, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, representative_id.
+def _all_links(lists: DataFrame, known: DataFrame, reps: DataFrame, full: DataFrame, docs: DataFrame, ws: Workspace, n: int, num: int, den: int) -> DataFrame:
+    """Every linked pair of different sets, once: a, b (ids that stand for the sets, a <= b), a_f1, a_f2, b_f1, b_f2.
+
+    Lists are taken with themselves, also within components. A pair that was compared has its answer; else the overlaps
+    with the list's pivot may decide; else the sets are compared. An id that has several sets is always compared."""
+    held = full.groupBy(F.col("doc_id").alias("rep")).agg((F.min(F.struct("f1", "f2")) != F.max(F.struct("f1", "f2"))).alias("_several"))
+    named = ws.table(reps.groupBy("rep").agg(F.min("f1").alias("_f1"), F.min("f2").alias("_f2")).join(held, "rep"), "named")
+    members = lists.join(named.select(F.col("rep").alias("id")), "id", "left_semi").select("token", "id", "size", "pos", "pivot").distinct()
+    members = ws.table(members, "members")
+    x = members.select("token", "pivot", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "pos")])
+    y = members.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "pos")])
+    met = x.join(y, "token").where("x_id < y_id").where(may_link("x_size", "x_pos", "y_size", "y_pos", num, den))
+    met = met.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.min("pivot").alias("pivot"), F.min("x_size").alias("size_a"), F.min("y_size").alias("size_b"))
+    several = named.where("_several").select(F.col("rep").alias("_m"))
+    plain = lambda c: met_plain.join(several.select(F.col("_m").alias(c)), c, "left_anti")
+    met = met_plain = ws.table(met, "met")
+    for c in ("a", "b", "pivot"):
+        met_plain = plain(c)
+    answers = known.select("a", "b", F.col("overlap").alias("_o")).groupBy("a", "b").agg(F.max("_o").alias("_o"))
+    to_pivot = lambda c: known.groupBy(F.col("a").alias("pivot"), F.col("b").alias(c)).agg(F.max("size_a").alias("_p"), F.max("overlap").alias(f"o_{c}"))
+    asked = met_plain.join(answers, ["a", "b"], "left").join(to_pivot("a"), ["pivot", "a"], "left").join(to_pivot("b").drop("_p"), ["pivot", "b"], "left")
+    a, b = F.col("size_a"), F.col("size_b")
+    least = F.col("o_a") + F.col("o_b") - F.col("_p")
+    most = F.least("o_a", "o_b") + F.least(a - F.col("o_a"), b - F.col("o_b"))
+    asked = asked.select("a", "b", F.when(F.col("_o").isNotNull(), similar(F.col("_o"), a, b, num, den)).when(similar(least, a, b, num, den), True).when(~similar(most, a, b, num, den), False).alias("answer"))
+    asked = ws.table(asked, "asked")
+    prints = lambda c: named.select(F.col("rep").alias(c), F.col("_f1").alias(f"{c}_f1"), F.col("_f2").alias(f"{c}_f2"))
+    cols = ["a", "b", "a_f1", "a_f2", "b_f1", "b_f2"]
+    sure = asked.where("answer").join(prints("a"), "a").join(prints("b"), "b").select(*cols)
+
+    linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), num, den)
+    compared = ws.table(_verified(asked.where("answer is null").select("a", "b"), docs, n).where(linked).select("a", "b").distinct(), "compared")
+    sure = sure.unionByName(compared.join(prints("a"), "a").join(prints("b"), "b").select(*cols))
+
+    rest = met.select("a", "b").join(asked, ["a", "b"], "left_anti")
+    rest = ws.table(rest.unionByName(several.select(F.col("_m").alias("a"), F.col("_m").alias("b"))), "rest")
+    sets = _sets(docs, rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))), n)
+    sets = ws.table(sets.join(reps.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]), "sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"), F.col("f1").alias(f"{c}_f1"), F.col("f2").alias(f"{c}_f2"))
+    both = rest.join(side("a"), "a").join(side("b"), "b").where("a < b or a_f1 < b_f1 or (a_f1 = b_f1 and a_f2 < b_f2)")
+    overlap = F.size(F.array_intersect("set_a", "set_b"))
+    return sure.unionByName(both.where(similar(overlap, F.size("set_a"), F.size("set_b"), num, den)).select(*cols))
+
+
+def _counted(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """f1, f2 and n_links of each set: all nodes of the sets that it links with, and the others of its own."""
+    weight = lambda c: weights.select(F.col("f1").alias(f"{c}_f1"), F.col("f2").alias(f"{c}_f2"), F.col("_w").alias(f"{c}_w"))
+    known = pairs.join(weight("a"), ["a_f1", "a_f2"]).join(weight("b"), ["b_f1", "b_f2"])
+    one = known.select(F.col("a_f1").alias("f1"), F.col("a_f2").alias("f2"), F.col("b_w").alias("_l"))
+    other = known.select(F.col("b_f1").alias("f1"), F.col("b_f2").alias("f2"), F.col("a_w").alias("_l"))
+    own = weights.select("f1", "f2", (F.col("_w") - 1).alias("_l"))
+    return one.unionByName(other).unionByName(own).groupBy("f1", "f2").agg(F.sum("_l").alias("n_links"))
+
+
+def linked_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 75, den: int = 100, bits: int = SKETCH_BITS) -> DataFrame:
+    """a, b: every linked pair of different sets, named by the representative_id of each in join_documents, which has the
+    membership. An id that stands for several sets may be paired with itself."""
+    return _join(df, key, text, n, num, den, bits, "pairs")
+
+
+def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 75, den: int = 100, bits: int = SKETCH_BITS, links: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, representative_id, and with `links` n_links.
 
     Documents link when den * intersection >= num * union of their sets of word n-grams; component_id is the smallest
     id reachable by links. Every link between different sets is either verified, derived, or implied by links already
-    found, so components are exact (up to collisions of 64-bit shingle hashes); no group is expanded into all pairs:
+    found, so components are exact (up to collisions of 64-bit shingle hashes); for components no group is expanded into
+    all pairs:
 
     1. Equal sets collapse into the one of the smallest id (representative_id).
     2. Each set lists the shingles of its prefix, rarest first by a sketch of all counts; in each list the set of the
@@ -200,10 +262,18 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
        with all sets of other components. From both overlaps with the pivot follow bounds of their own overlap: where
        those decide, they are the answer; only the rest is compared.
 
+    n_links is the number of other documents that a row's text links with, where a document is an id with one set: exact
+    copies under other ids count, repeated rows don't. It needs every linked pair of different sets (`linked_pairs`), which
+    grows with the square of a group of near copies. It is 0 for blank texts and null for null ids.
+
     Rows that share an id are one node of the graph. Rows with a null id take no part: their component_id and
     representative_id are null. Null and blank texts have 0 shingles and link with nothing (component_id is their own
     id). Repeated rows are kept; other columns are not read; an empty table gives an empty result.
     """
+    return _join(df, key, text, n, num, den, bits, "links" if links else "components")
+
+
+def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits: int, what: str) -> DataFrame:
     spark = session(df)
     ws = Workspace(spark, "ngram")
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -229,6 +299,15 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     stars = ws.table(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     known = ws.table(_verified(stars, docs, n), "known")
     linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), num, den)
+    drops = ("kept", "pivots", "lists", "stars", "known", "reps", "scan", "named", "members", "met", "asked", "compared", "rest", "sets")
+    if what != "components":
+        pairs = ws.table(_all_links(lists, known, reps, full, docs, ws, n, num, den), "pairs")
+        if what == "pairs":
+            ws.drop(*drops)
+            return pairs.select("a", "b")
+        weights = full.select("doc_id", "f1", "f2").distinct().groupBy("f1", "f2").agg(F.count("*").alias("_w"))
+        counted = ws.table(_counted(pairs, weights), "counted")
+        ws.drop("named", "members", "met", "asked", "compared", "rest", "sets", "pairs")
     first = ws.table(components(known.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), ws, "first"), "comps")
 
     of = lambda c, name: first.select(F.col("id").alias(c), F.col("comp").alias(name))
@@ -254,10 +333,14 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     links = found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(first.select(F.col("id").alias("u"), F.col("comp").alias("v")))
     final = ws.table(components(links, ws, "last"), "final")
 
-    named = seen.join(reps, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).otherwise(F.col("doc_id")).alias("representative_id"))
+    extra = []
+    if what == "links":
+        seen = seen.join(counted, ["f1", "f2"], "left")
+        extra = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")]
+    named = seen.join(reps, ["f1", "f2"], "left").select("doc_id", "n_shingles", *extra, F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).otherwise(F.col("doc_id")).alias("representative_id"))
     named = named.join(final.select(F.col("id").alias("representative_id"), "comp"), "representative_id", "left")
-    out = ws.table(named.select("doc_id", "n_shingles", F.coalesce("comp", "representative_id").alias("component_id"), "representative_id"), "result")
-    ws.drop("kept", "pivots", "lists", "placed", "outside", "more", "new", "stars", "known", "found", "comps", "final", "reps", "scan")
+    out = ws.table(named.select("doc_id", "n_shingles", F.coalesce("comp", "representative_id").alias("component_id"), "representative_id", *(["n_links"] if extra else [])), "result")
+    ws.drop("counted", "kept", "pivots", "lists", "placed", "outside", "more", "new", "stars", "known", "found", "comps", "final", "reps", "scan")
     return out
 
 

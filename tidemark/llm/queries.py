@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_documents(table(spark, sf_dir, "documents"), n=5, num=75, den=100)
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"), n=5, num=75, den=100, links=True)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
