@@ -94,8 +94,8 @@ def similar(i: Column, a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def may_link(a: str, i: str, b: str, j: str, num: int, den: int) -> Column:
-    """Sizes a, b and places i, j (from 0) of the first common shingle: whether what is left can still suffice. In the
-    lists, this skips the blocks of sizes too far off, and in each block the places too far back."""
+    """Sizes a, b and places i, j (from 0) of the first common shingle: whether what is left can still suffice. A
+    filter on rows that a join on the shingle has made; lists have no blocks of sizes or places that it could skip."""
     rest = F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
     return (F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)) & (F.lit(den + num) * rest >= F.lit(num) * (F.col(a) + F.col(b)))
 
