@@ -62,27 +62,46 @@ def encoder():
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="aehrtino s'1", max_size=60)), max_size=5))
-def test_encoding_equals_the_library(texts):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    for text, (n, ids, shown) in zip(texts, encoder().encode(texts), strict=True):
-        want = t.encode(text, add_special_tokens=False).ids
-        assert ids == " ".join(map(str, want)) and n == len(want)
-        assert shown == t.decode(want, skip_special_tokens=False) == bpe.decode(want, encoder().words.v)
+def test_encoding_equals_the_library(word_bpe, texts):
+    decoder = bpe.Decoder(encoder().words.v)
+    for text, ids in zip(texts, encoder().encode(texts), strict=True):
+        assert ids == word_bpe.encode(text, add_special_tokens=False).ids
+        assert decoder.decode(ids) == word_bpe.decode(ids, skip_special_tokens=False)
+
+
+def test_every_code_point(word_bpe):
+    """Alone and beside letters, digits, marks and a combining accent; plain ones as plain texts, which the library
+    doesn't split."""
+    plain = [chr(c) for c in range(0x2100) if bpe.TextEncoder.PLAIN.fullmatch(chr(c))]
+    other = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not bpe.TextEncoder.PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 300
+    for points, step, shape in ((plain, 16, "{0} a{0}b 1{0}2 :{0}! {0}{0} '{0}s"), (other, 4096, ":{0}a{0}1")):
+        for at in range(0, len(points), step):
+            text = " ".join(map(shape.format, points[at : at + step]))
+            assert bool(bpe.TextEncoder.PLAIN.fullmatch(text)) == (points is plain)
+            [ids] = encoder().encode([text])
+            assert ids == word_bpe.encode(text, add_special_tokens=False).ids, points[at]
+    for a in plain:  # every pair of plain characters
+        text = " ".join(f"{a}{b}" for b in plain)
+        assert next(encoder().encode([text])) == word_bpe.encode(text, add_special_tokens=False).ids, a
 
 
 def test_special_tokens_and_odd_rows(word_bpe, odd, docs):
-    texts = ["a<|endoftext|>b<|startoftext|>", "<|endoftext", "ΣΑΣ İ ß ǅ ﬁ", "don't WE'LL", "aaaaaaaaaaaaaaaa" * 40]
-    for text, (_, ids, _) in zip(texts, encoder().encode(texts), strict=True):
-        assert ids == " ".join(map(str, word_bpe.encode(text, add_special_tokens=False).ids))
+    texts = ["a<|endoftext|>b<|startoftext|>", "<|endoftext", "ΣΑΣ İ ß ǅ ﬁ", "don't WE'LL", "aaaaaaaaaaaaaaaa" * 40, ":\U0003d000", ":\u0558x", "a\u0c5c1"]
+    for text, ids in zip(texts, encoder().encode(texts), strict=True):
+        assert ids == word_bpe.encode(text, add_special_tokens=False).ids
     assert encoder().words.failed < encoder().words.speculated
-    for r in bpe.encode_digests(odd, P.path("word_bpe_49k.json")).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+    path = P.path("word_bpe_49k.json")
+    for r in bpe.encode_digests(odd, path).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
         ids = word_bpe.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(word_bpe.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    assert bpe.encode_digests(odd, P.path("word_bpe_49k.json")).count() == odd.count()
-    assert bpe.encode_digests(docs([]), P.path("word_bpe_49k.json")).count() == 0
+    encoded = bpe.encode_documents(odd, path)
+    back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(encoded, path).collect()}
+    for r in odd.where("doc_id is not null").collect():
+        assert back[r["doc_id"]] == word_bpe.decode(word_bpe.encode(r["text"] or "", add_special_tokens=False).ids, skip_special_tokens=False)
+    assert bpe.encode_digests(odd, path).count() == odd.count() == encoded.count()
+    assert bpe.encode_digests(docs([]), path).count() == 0 == bpe.decode_documents(bpe.encode_documents(docs([]), path), path).count()
 
 
 # ---- FLAC ----

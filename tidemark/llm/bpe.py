@@ -7,6 +7,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import session
+from tidemark.llm.workspace import session, text_groups
 
 #: Words whose tokens a worker keeps; beyond it the memory starts anew.
 CACHE = 400_000
@@ -65,6 +66,8 @@ class Vocabulary:
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
         short = lambda s: s[: -len(suffix)] + END if s.endswith(suffix) else s
+        #: The rule by which normalized text falls into words.
+        self.rule = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.ids = {short(s): i for s, i in model["vocab"].items()}
         self.shown = {i: s for s, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -154,7 +157,7 @@ class WordEncoder:
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
-        self.kept: dict[str, tuple[int, str, str]] = {}
+        self.kept: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.letters = byte_letters()
         self.table = {b: self.letters[b] for b in range(256)}
@@ -191,46 +194,44 @@ class WordEncoder:
         new = [w for w in words if w not in self.kept]
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            for w, ids in zip(part, self.encode(part), strict=True):
-                self.kept[w] = (len(ids), " ".join(map(str, ids)), " ".join([self.v.shown[i] for i in ids]))
-
-
-# The vocabulary's own rule for splitting normalized text into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+            self.kept.update(zip(part, self.encode(part), strict=True))
 
 
 class TextEncoder:
-    """Whole texts: special tokens spelled out, normalization, words, tokens."""
+    """Whole texts: special tokens spelled out, normalization, words, tokens.
+
+    The rule for words is the vocabulary file's own. What a letter, a digit or white space is depends on the Unicode
+    tables of whoever applies it, so texts with any character outside PLAIN are normalized and split by the library.
+    """
 
-    #: Letters that every Unicode version of the last decades treats alike; other texts take the library's normalizer.
+    #: Characters on which this module and the library agree wherever they stand (a test tries each of them).
     PLAIN = regex.compile(r"[\t-\r -~¡-¬®-ſ‐-‧€]*")
 
     def __init__(self, path: str):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
         self.words = WordEncoder(vocabulary(path))
-        self.path, self.library = path, None
-        self.split = regex.compile(WORDS)
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        rule = self.words.v.rule
+        self.split, self.library = regex.compile(rule), pre_tokenizers.Split(Regex(rule), "removed", invert=True)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.words.v.special) + ")")
 
-    def normalized(self, text: str) -> str:
+    def split_words(self, text: str) -> list[str]:
         if self.PLAIN.fullmatch(text):
-            return unicodedata.normalize("NFC", text).lower()
-        if self.library is None:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(self.path).normalizer
-        return self.library.normalize_str(text)
+            return self.split.findall(unicodedata.normalize("NFC", text).lower())
+        return [w for w, _ in self.library.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def parts(self, text: str) -> list[str | int]:
         """Words, and the ids of special tokens that the text spells out."""
         if "<|" not in text:
-            return self.split.findall(self.normalized(text))
+            return self.split_words(text)
         out: list[str | int] = []
         for k, piece in enumerate(self.specials.split(text)):
-            out += [self.words.v.special[piece]] if k % 2 else self.split.findall(self.normalized(piece))
+            out += [self.words.v.special[piece]] if k % 2 else self.split_words(piece)
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Count, ids and decoded text of each; a few MB of texts at a time."""
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; a few MB of texts at a time."""
         at = 0
         while at < len(texts):
             stop, size = at, 0
@@ -239,35 +240,74 @@ class TextEncoder:
                 stop += 1
             split = [self.parts(t) for t in texts[at:stop]]
             self.words.settle({w for parts in split for w in parts if isinstance(w, str)})
-            kept, shown = self.words.kept, self.words.v.shown
+            kept = self.words.kept
             for parts in split:
-                found = [kept[w] if isinstance(w, str) else (1, str(w), shown[w]) for w in parts]
-                yield sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+                yield list(chain.from_iterable([kept[w] if isinstance(w, str) else [w] for w in parts]))
             at = stop
 
-    def ids(self, text: str) -> list[int]:
-        return [int(x) for x in next(self.encode([text]))[1].split()]
 
+class Decoder:
+    """Texts of ids: the tokens as the vocabulary shows them, joined by spaces; ids that it lacks are left out."""
 
-def decode(ids: list[int], vocab: Vocabulary) -> str:
-    """The tokens as the vocabulary shows them, joined by spaces; ids that it lacks are left out."""
-    return " ".join(vocab.shown[i] for i in ids if i in vocab.shown)
+    def __init__(self, vocab: Vocabulary):
+        self.shown = vocab.shown
+
+    def decode(self, ids: list[int]) -> str:
+        try:
+            return " ".join(map(self.shown.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.shown[i] for i in ids if i in self.shown])
+
+
+def encode_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id and ids, the token ids of the whole text (null: none). Repeated rows and null ids
+    are kept, columns other than the two named are not read, and an empty table gives an empty result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = TextEncoder(path)
+        for batch in batches:
+            for who, texts in text_groups(batch.column(0).to_pylist(), batch.column(1)):
+                ids = pa.array(list(encoder.encode([t or "" for t in texts])), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), ids], ["doc_id", "ids"])
+
+    session(df)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode_documents(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """One row per input row: doc_id and text, decoded from the ids; null ids give an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(vocabulary(path))
+        for batch in batches:
+            texts = [decoder.decode(x.as_py() or []) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    session(df)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, all of the whole text.
 
-    A null text counts as empty: no tokens, and the digests of nothing. Repeated rows and null ids are kept, columns
+    The first digest is of the ids, the second of the text decoded from those ids. A null text counts as empty: no
+    tokens, and the digests of nothing. Repeated rows and null ids are kept, columns
     other than the two named are not read, and an empty table gives an empty result.
     """
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path)
+        encoder, decoder = TextEncoder(path), Decoder(vocabulary(path))
+        written = [str(i) for i in range(vocabulary(path).size)]
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            out = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()) for n, ids, shown in encoder.encode(texts)]
-            n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, told, back = [], [], []
+            for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
+                n.append(len(ids))
+                told.append(sha(" ".join(map(written.__getitem__, ids))))
+                back.append(sha(decoder.decode(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], names)
 
     session(df)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import PARTIAL_SUMS, SlotCounter, Workspace, components, id_bitmap, id_slots, session, sum_slots
+from tidemark.llm.workspace import PARTIAL_SUMS, SlotCounter, Workspace, components, id_bitmap, id_slots, session, sum_slots, text_groups
 
 #: Counters of the frequency sketch that orders shingles, as a power of two. Any order is right; a wider sketch tells
 #: rarer shingles apart in a larger corpus.
@@ -69,21 +69,6 @@ class Shingler:
         return out
 
 
-def _groups(ids: list, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[list, list[str | None]]]:
-    """Some MB of texts at a time."""
-    some, who, size = [], [], 0
-    for i, x in zip(ids, texts, strict=True):
-        t = x.as_py()
-        some.append(t)
-        who.append(i)
-        size += len(t or "")
-        if size >= most:
-            yield who, some
-            some, who, size = [], [], 0
-    if some:
-        yield who, some
-
-
 def needed(a: Column, b: Column, num: int, den: int) -> Column:
     """The least intersection of sets of a and b shingles with den * i >= num * (a + b - i)."""
     return F.ceil(F.lit(num) * (a + b) / F.lit(num + den))
@@ -109,7 +94,7 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counter = Shingler(n), SlotCounter(1 << bits)
         for batch in batches:
-            for ids, texts in _groups(batch.column(0).to_pylist(), batch.column(1)):
+            for ids, texts in text_groups(batch.column(0).to_pylist(), batch.column(1)):
                 sets = shingler.sets(texts)
                 counter.add((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64))
                 prints = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), dtype=np.int64).reshape(-1, 2)
@@ -138,7 +123,7 @@ def _entries(docs: DataFrame, wanted: np.ndarray, levels: np.ndarray, hot: int,
             if not len(keep):
                 continue
             texts = batch.column(1).take(pa.array(keep))
-            for who, some in _groups(ids[keep].tolist(), texts):
+            for who, some in text_groups(ids[keep].tolist(), texts):
                 tokens, owners, sizes, places = [], [], [], []
                 for i, h in zip(who, shingler.sets(some), strict=True):
                     if not len(h):
@@ -170,7 +155,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             keep = np.flatnonzero(known.value[id_slots(who, wide)])
             if not len(keep):
                 continue
-            for some, texts in _groups(who[keep].tolist(), batch.column(1).take(pa.array(keep))):
+            for some, texts in text_groups(who[keep].tolist(), batch.column(1).take(pa.array(keep))):
                 sets = [h.view(np.int64) for h in shingler.sets(texts)]
                 prints = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), dtype=np.int64).reshape(-1, 2)
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)

@@ -53,6 +53,21 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_groups(ids: list, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[list, list[str | None]]]:
+    """Some MB of a batch's texts at a time, with their ids."""
+    some, who, size = [], [], 0
+    for i, x in zip(ids, texts, strict=True):
+        t = x.as_py()
+        some.append(t)
+        who.append(i)
+        size += len(t or "")
+        if size >= most:
+            yield who, some
+            some, who, size = [], [], 0
+    if some:
+        yield who, some
+
+
 #: Slots of an array that one row of partial sums holds.
 SLICE = 1 << 16
 #: Partial sums added up by one group of one pass.
