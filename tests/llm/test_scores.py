@@ -1,6 +1,10 @@
 """Neighbours, pseudonyms, licences, quality, and the pipeline."""
 
+import hashlib
+import itertools
+import math
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +88,77 @@ def test_permutations(n, data):
     assert 0 <= y < n and p.map(y, True) == x and (y != x or n == 1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([2, 6, 10, 16, 26]), min_size=1, max_size=400), st.randoms())
+def test_symbols_of_any_number_map_back(sizes, random):
+    values = [random.randrange(n) for n in sizes]
+    new = pii.permute_symbols(values, sizes, KEY, "t")
+    assert all(0 <= v < n for v, n in zip(new, sizes, strict=True)) and pii.permute_symbols(new, sizes, KEY, "t", True) == values
+
+
+def test_long_secrets():
+    """No part of a long secret stays, one changed letter changes all of it, and the time grows with the length."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    spent = {}
+    for n in (10, 43, 44, 60, 100, 200, 1000, 5000, 100_000, 400_000):
+        value = "".join(rng.choice(letters, n))
+        text = f"token={value} and more"
+        begin = time.process_time()
+        [(kind, start, end, new)] = pii.find(text, KEY)
+        spent[n] = time.process_time() - begin
+        assert (kind, start, end) == ("secret", 6, 6 + n) and len(new) == n
+        changed = text.replace(value, new)
+        assert pii.replaced(changed, pii.find(changed, KEY, True)) == text
+        same = sum(a == b for a, b in zip(value, new, strict=True))
+        assert same <= n / 16 + 4 * (n / 16) ** 0.5 + 2 and value[: max(8, n // 20)] != new[: max(8, n // 20)]
+        other = pii.secret(value[:-1] + ("x" if value[-1] in "abc" else "a" if value[-1].islower() else "B" if value[-1] == "A" else "A" if value[-1].isupper() else str((int(value[-1]) + 1) % 10)), KEY, False)
+        assert sum(a == b for a, b in zip(other, new, strict=True)) <= n / 10 + 4 * (n / 10) ** 0.5 + 2
+    assert spent[400_000] < 12 * spent[100_000] + 0.5
+    assert pii.find("token=" + "=" * 100_000, KEY) == []
+    begin = time.process_time()
+    assert len(pii.find("token=" + "a.b." * 25_000 + "x@example.com 4111111111111111 " + "1.2.3.4 " * 4000, KEY)) >= 4001
+    assert time.process_time() - begin < 20
+
+
+def by_the_definition(value, sizes, key, tweak, back=False):
+    """The permutation of numbers of mixed radix, written once more from its definition."""
+    x, n = 0, math.prod(sizes)
+    for v, s in zip(value, sizes, strict=True):
+        x = x * s + v
+    seed = hashlib.blake2b(f"{tweak}|{','.join(map(str, sizes))}|{n}".encode(), key=key, digest_size=32).digest()
+    h = lambda data: int.from_bytes(hashlib.blake2b(data, key=seed, digest_size=32).digest(), "big")
+    side = math.isqrt(n - 1) + 1
+
+    def forth(x):
+        a, b = x // side, x % side
+        for r in range(8):
+            a, b = b, (a + h(f"{r}|{b}".encode())) % side
+        return a * side + b
+
+    def walk(x, f):
+        x = f(x)
+        while x >= n:
+            x = f(x)
+        return x
+
+    table = {walk(x, forth): x for x in range(n)}
+    turn = 1 + h(b"turn") % (n - 1)
+    y = table[(walk(x, forth) + (-turn if back else turn)) % n]
+    out = []
+    for s in reversed(sizes):
+        y, v = y // s, y % s
+        out.append(v)
+    return out[::-1]
+
+
+@pytest.mark.parametrize("sizes", [[10, 10], [10, 26, 3], [5], [12, 31, 2]])
+def test_permutations_equal_their_definition(sizes):
+    for value in itertools.product(*[range(0, n, 3) for n in sizes]):
+        for back in (False, True):
+            assert pii.permute_symbols(list(value), sizes, KEY, "t", back) == by_the_definition(value, sizes, KEY, "t", back)
+
+
 VALUES = {"email": "jo.doe42@mail8.example.com", "card": "4041 8949 7460 8795", "phone": "+1 (988) 555-2485", "ip": "42.144.35.254", "iban": "DE89 3704 0044 0532 0130 00", "ssn": "123-45-6789", "date": "1987-02-28", "secret": "b7db7aa4a5fcc78305"}
 
 

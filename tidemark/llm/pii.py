@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +19,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.workspace import session
 
 ROUNDS = 8
+#: Most values of a Permutation: either half of its numbers is then far narrower than a round's hash of 256 bits.
+WIDEST = 1 << 256
 
 
 class Permutation:
-    """A keyed permutation of 0..n-1 that leaves no number in place (n > 1): Feistel, a keyed turn, Feistel back."""
+    """A keyed permutation of 0..n-1, n up to WIDEST, that leaves no number in place (n > 1).
+
+    A Feistel network, a keyed turn, and the network backwards. Such a permutation leaves nothing in place, but all its
+    cycles have one length (that of the turn): it is no random permutation, and only single values are hidden by it.
+    """
 
     def __init__(self, key: bytes, tweak: str, n: int):
+        if n > WIDEST:
+            raise ValueError("a round's hash is narrower than half of that")
         self.n, self.side = n, isqrt(n - 1) + 1 if n > 1 else 1
         self.seed = hashlib.blake2b(f"{tweak}|{n}".encode(), key=key[:64], digest_size=32).digest()
         self.turn = 1 + int.from_bytes(self._hash(b"turn"), "big") % (n - 1) if n > 1 else 0
@@ -56,10 +65,12 @@ def permutation(key: bytes, tweak: str, n: int) -> Permutation:
 
 
 def permute_symbols(values: list[int], sizes: list[int], key: bytes, tweak: str, back: bool = False) -> list[int]:
-    """Permutes numbers of mixed radix: each place keeps its own range."""
+    """Permutes numbers of mixed radix (each of at most 256 values where there are many): each place keeps its range."""
     x, n = 0, 1
     for v, s in zip(values, sizes, strict=True):
         x, n = x * s + v, n * s
+        if n > WIDEST:
+            return permute_long(values, sizes, key, tweak, back)
     x, out = permutation(key, f"{tweak}|{','.join(map(str, sizes))}", n).map(x, back), []
     for s in reversed(sizes):
         x, v = divmod(x, s)
@@ -67,6 +78,21 @@ def permute_symbols(values: list[int], sizes: list[int], key: bytes, tweak: str,
     return out[::-1]
 
 
+def permute_long(values: list[int], sizes: list[int], key: bytes, tweak: str, back: bool = False) -> list[int]:
+    """As permute_symbols, for more combinations than one number holds: a Feistel network whose halves are the first and
+    the second half of the places. A round adds to every place of one half, modulo its size, eight bytes of a stream
+    that is as long as the half and depends on all of the other half; so work grows with the length."""
+    size, x = np.array(sizes, dtype=np.uint64), np.array(values, dtype=np.uint64)
+    seed = hashlib.blake2b(tweak.encode() + b"|long|" + size.astype(np.uint8).tobytes(), key=key[:64], digest_size=32).digest()
+    halves = (slice(0, len(x) // 2), slice(len(x) // 2, len(x)))
+    for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        mine, other = halves[r % 2], halves[1 - r % 2]
+        stream = hashlib.shake_256(seed + bytes([r]) + x[other].astype(np.uint8).tobytes()).digest(8 * (mine.stop - mine.start))
+        add = np.frombuffer(stream, dtype="<u8") % size[mine]
+        x[mine] = (x[mine] + (size[mine] - add if back else add)) % size[mine]
+    return x.astype(np.int64).tolist()
+
+
 def luhn(digits: str) -> int:
     """The check digit that follows `digits`."""
     total = 0
@@ -214,7 +240,7 @@ class Kind:
     pattern: str
     change: Callable[[str, bytes, bool], str | None]
     #: Of several ends at group borders, those for which this holds are tried first.
-    whole: Callable[[str], bool] = lambda value: True
+    whole: Callable[[str], bool] | None = None
 
 
 #: In order: where several could begin at one place, the first that validates is taken. Cards in one piece or in the
@@ -238,10 +264,18 @@ TRACE = re.compile(r"[0-9@]|passw|secret=|token=|api_?key=|AKIA|gh[pousr]_")
 _COMPILED = tuple((k, re.compile(k.pattern)) for k in KINDS)
 
 
-def _ends(text: str, pattern: re.Pattern, start: int, end: int, limit: int, whole: Callable[[str], bool]) -> list[int]:
-    """Where a value that begins at `start` may end: at `end` or at a group border before it, up to `limit`, longest first."""
-    ends = [end] + [p for p in range(min(end, limit + 1) - 1, start, -1) if text[p - 1].isalnum() and not text[p].isalnum() and (m := pattern.match(text, start, p)) and m.end() == p]
-    return sorted(ends, key=lambda p: not whole(text[start:p]))
+def _ends(text: str, pattern: re.Pattern, start: int, end: int, limit: int, whole: Callable[[str], bool] | None) -> Iterator[int]:
+    """Where a value that begins at `start` may end: at `end` or at a group border before it, up to `limit`, longest
+    first; those that are `whole` come before all others (the kinds that tell have short spans)."""
+
+    def ends() -> Iterator[int]:
+        if end <= limit:
+            yield end
+        for p in range(min(end, limit + 1) - 1, start, -1):
+            if text[p - 1].isalnum() and not text[p].isalnum() and (m := pattern.match(text, start, p)) and m.end() == p:
+                yield p
+
+    return ends() if whole is None else iter(sorted(ends(), key=lambda p: not whole(text[start:p])))
 
 
 def find(text: str, key: bytes, back: bool = False) -> list[tuple[str, int, int, str]]:
@@ -261,9 +295,8 @@ def find(text: str, key: bytes, back: bool = False) -> list[tuple[str, int, int,
                 at = taken[k - 1][1]
                 continue
             limit = taken[k][0] if k < len(taken) else len(text)
-            first = kind.change(m[0], key, back) if m.end() <= limit and kind.whole(m[0]) else None
-            tries = [(m.end(), first)] if first not in (None, m[0]) else ((e, kind.change(text[start:e], key, back)) for e in _ends(text, pattern, start, m.end(), limit, kind.whole) if e <= limit)
-            for end, new in tries:
+            for end in _ends(text, pattern, start, m.end(), limit, kind.whole):
+                new = kind.change(text[start:end], key, back)
                 if new is not None and new != text[start:end]:
                     mine.append((start, end))
                     found.append((kind.name, start, end, new))
@@ -286,7 +319,8 @@ def pseudonymise(df: DataFrame, secret_key: bytes, key: str = "doc_id", text: st
 
     E-mail addresses, card numbers (Luhn), IBANs (mod 97), social security and phone numbers, IPv4 addresses, dates
     (calendar) and secrets are each mapped by a permutation that depends on the key and their format alone, so equal
-    values stay equal across documents and different ones different. What fails its validation is left alone. start and
+    values stay equal across documents and different ones different. Secrets of any length are changed as a whole, in
+    time that grows with their length. What fails its validation is left alone. start and
     end count characters of the original. Null texts stay null with nothing found; empty texts, repeated rows and null
     ids are kept; an empty table gives an empty result.
     """
