@@ -32,28 +32,29 @@ def _labelled(sha1: bytes) -> str:
     return "sha1:" + base64.b32encode(sha1).decode()
 
 
-def record_pieces(record_id: str, url: str | None, payload: bytes | memoryview, refers_to: int | None, date: str, size: int = CHUNK) -> Iterator[bytes | memoryview]:
-    """A record's bytes in pieces of at most `size`; the payload is sliced, never copied whole."""
+def record_pieces(record_id: str, url: str | None, payload: bytes | memoryview, refers_to: str | None, date: str, size: int = CHUNK, sha1: bytes | None = None) -> list[bytes | memoryview]:
+    """A record's bytes in pieces of at most `size`. The payload (of the digest sha1) is sliced, never copied whole; heads
+    of any length are sliced too. refers_to is the id of the record that a revisit stands for."""
     payload = memoryview(payload)
-    digest = hashlib.sha1()
-    for k in range(0, len(payload), size):
-        digest.update(payload[k : k + size])
+    sha1 = sha1 or hashlib.sha1(payload).digest()
     target = "".join(c for c in url or "about:blank" if c >= " ")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Payload-Digest", _labelled(digest.digest())), ("Content-Type", "application/http;msgtype=response")]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Payload-Digest", _labelled(sha1)), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
-        fields += [("WARC-Profile", SAME_PAYLOAD), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", SAME_PAYLOAD), ("WARC-Refers-To", f"<{refers_to}>")]
     body = payload if refers_to is None else payload[:0]
     fields.append(("Content-Length", str(len(http) + len(body))))
     head = b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + http
     end = b"\r\n\r\n"
     if len(head) + len(body) + len(end) <= size:
-        yield b"".join((head, body, end))
-        return
-    yield head
-    for k in range(0, len(body), size):
-        yield body[k : k + size]
-    yield end
+        return [b"".join((head, body, end))]
+    return [part[k : k + size] for part in (memoryview(head), body, end) for k in range(0, len(part), size)]
+
+
+def record_name(page: int | None, sha1: bytes) -> str:
+    """The WARC-Record-ID of a page's record. Page and payload alone decide it, so that a revisit can name the record
+    that it stands for; rows that repeat both have one name, as they hold one record."""
+    return f"urn:page:{'' if page is None else page}:{sha1.hex()}"
 
 
 class Parser:
@@ -112,7 +113,7 @@ class Parser:
         revisit = f["WARC-Type"] == "revisit"
         if not revisit and (told != r["sha1"].hexdigest() or r["told"] != r["payload_bytes"]):
             raise Damaged("the payload's digest or length doesn't hold")
-        to = f.get("WARC-Refers-To", "").strip("<>").removeprefix("urn:page:")
+        to = f.get("WARC-Refers-To", "").strip("<>").removeprefix("urn:page:").partition(":")[0]
         return {"record_id": f["WARC-Record-ID"].strip("<>"), "url": f["WARC-Target-URI"], "payload_bytes": r["told"], "payload_digest": told, "record_type": f["WARC-Type"], "refers_to": int(to) if to else None}
 
     def finish(self) -> None:
@@ -137,7 +138,8 @@ def keepers(pages: DataFrame, key: str, html: str, least: int = LEAST_REVISIT) -
 def write_chunks(pages: DataFrame, ws: Workspace, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT, size: int = CHUNK, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """The archive of `pages`, written as a table of chunks under the shared folder.
 
-    Payloads shared by several rows are stored by the row with the largest key, and referred to by the others. Which
+    record_id is a row's own; all its chunks carry it, their number, how many there are, and the digest of all bytes up
+    to their end. Payloads shared by several rows are stored by the row with the largest key, and referred to by the others. Which
     payloads are shared is a table of its own, of which Spark checks the size before it chooses how to join it.
     """
     session(pages)
@@ -150,14 +152,14 @@ def write_chunks(pages: DataFrame, ws: Workspace, key: str = "page_id", url: str
         part, n, out, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for page, target, body, to in zip(*batch.columns, strict=True):
-                page = page.as_py()
-                record_id = f"urn:page:{page}:{part}-{n}"
-                n += 1
-                running, k, total = hashlib.sha1(), 0, 1 if len(body.as_buffer()) + 4096 <= size else None
-                pieces = record_pieces(record_id, target.as_py(), memoryview(body.as_buffer()), to.as_py(), date, size)
+                page, body, to = page.as_py(), memoryview(body.as_buffer()), to.as_py()
+                name, n = f"{part}-{n}", n + 1
+                digest = hashlib.sha1(body).digest()
+                pieces = record_pieces(record_name(page, digest), target.as_py(), body, None if to is None else record_name(to, digest), date, size, digest)
+                running, k = hashlib.sha1(), 0
                 for piece in pieces:
                     running.update(piece)
-                    out.append((record_id, page, k, total or 2, running.hexdigest(), bytes(piece)))
+                    out.append((name, page, k, len(pieces), running.hexdigest(), bytes(piece)))
                     k, held = k + 1, held + len(piece)
                     if held >= BATCH_BYTES:
                         yield _batch(out)
