@@ -81,25 +81,27 @@ def cut(n_tokens: int, room: int) -> list[tuple[int, int]]:
 
 
 def tokenized(df: DataFrame, room: int, key: str, text: str, json_name: str, ranks_name: str, end_id: int) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and nth, its place in its partition's output."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encoder = ByteEncoder(_vocabulary(json_name), _vocabulary(ranks_name), public_tokenizers.PATTERN)
         end = np.asarray([end_id], dtype="<u4").tobytes()
+        nth = 0
         for batch in batches:
             rows = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = memoryview(encoder.encode(value.as_py() or "") + end)
                 for k, (start, length) in enumerate(cut(len(ids) // 4, room)):
-                    rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), nth))
+                    nth += 1
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     session(df)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 class Sizes:
@@ -181,17 +183,17 @@ def pack(df: DataFrame, room: int = 2048, key: str = "doc_id", text: str = "text
 
     A document is its ids and end_id; a null or empty text is end_id alone. Only a document longer than `room` is cut,
     so that all its pieces but the first fill a sequence each. Groups of about DOCS_PER_GROUP documents, dealt by a
-    hash of the document's id and its pieces' checksum, are packed on their own: copies spread over groups, no group
-    grows with the corpus, and a group wastes less than a sequence more than one packing of everything. Rows that
+    hash of a piece's id, checksum and place in its partition, are packed on their own: copies and rows that repeat
+    altogether spread over groups, no group grows with the corpus, and a group wastes less than a sequence more than one packing of everything. Rows that
     repeat are packed once each; null ids are packed too; columns other than the two named are not read. An empty table
     gives an empty result.
     """
     groups = max(1, math.ceil(df.count() / DOCS_PER_GROUP))
     pieces = tokenized(df, room, key, text, json_name, ranks_name, end_id)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "ids_crc32", "nth"), F.lit(groups)))
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece", "ids_crc32", "length"], kind="stable", ignore_index=True)
+        frame = frame.sort_values(["doc_id", "piece", "ids_crc32", "length", "nth"], kind="stable", ignore_index=True)
         bins, frame["offset"] = best_two_fit(frame["length"].to_numpy(), room)
         frame["sequence_id"] = frame["_group"].astype("int64") * (1 << 32) + bins
         return frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
