@@ -38,6 +38,30 @@ def test_shards(odd, docs, spark):
     assert sharding.assign_shards(docs([]), 4).count() == 0
 
 
+def test_shard_choice_equals_its_definition(docs, spark):
+    """The least of exponential draws from Spark's own hash of key and shard, computed once more in Python."""
+    from pyspark.sql import functions as F
+
+    rows, weights = [(k * 7919, f"t{k}") for k in range(400)], [1.0, 2.5, 0.0, 0.5]
+    bits = spark.createDataFrame([(str(i), j) for i, _ in rows for j in range(5)], "k string, j int").select("k", "j", F.xxhash64("k", "j").alias("h")).collect()
+    bid = {(r["k"], r["j"]): -math.log(((r["h"] % (1 << 64) >> 11) + 0.5) / (1 << 53)) for r in bits}
+    for r in sharding.assign_shards(docs(rows), 4, weights=weights).collect():
+        own = {j: bid[str(r["doc_id"]), j] / w for j, w in enumerate([*weights, 1.0]) if w}
+        assert r["grown_shard"] == min(own, key=own.get)
+        del own[4]
+        assert r["shard"] == min(own, key=own.get)
+
+
+def test_a_repeated_key_spreads(docs, spark, monkeypatch):
+    """One key holds a third of the rows, some of them alike altogether: slots stay gapless, pieces small."""
+    monkeypatch.setattr(sharding, "ROWS_PER_PIECE", 50)
+    rows = [(5, "same")] * 700 + [(5, f"t{k}") for k in range(300)] + [(None, "same")] * 200 + [(k, "x") for k in range(10, 1800)]
+    out = sharding.assign_shards(docs(rows).repartition(7), 2).toPandas()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert len(out) == len(rows) and out[out.doc_id == 5]["shard"].nunique() == 1
+
+
 # ---- BPE ----
 
 
@@ -168,13 +192,40 @@ def test_media_columns(odd, docs):
     assert out[6]["media_sha256"] == out[7]["media_sha256"] and out[3]["feature"] == out[4]["feature"]
 
 
+def test_stored_blocks(odd, docs):
+    """PCM blocks with their offsets, of whole files and of a range of samples; features against a plain loop."""
+    media = flac.store_media(odd).cache()
+    blocks = flac.read_blocks(media).toPandas()
+    texts = {r["doc_id"]: flac.padded((r["text"] or "").encode()) for r in odd.collect() if r["doc_id"] not in (None, 7)}
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    for doc, want in texts.items():
+        g = blocks[blocks.doc_id == doc].sort_values("block")
+        assert b"".join(map(bytes, g.pcm)) == want and g.sample_offset.tolist() == list(range(0, len(want), 576)) and (g.samples == 576).all()
+        for at in g.byte_offset:
+            assert files[doc][at : at + 2] == b"\xff\xf8"
+    part = flac.read_blocks(media, 600, 1200).toPandas()
+    assert set(part.block) == {1, 2} and (part[part.doc_id == 8].sort_values("block").iloc[0].pcm) == texts[8][576:1152]
+    assert flac.read_blocks(flac.store_media(docs([]))).count() == 0
+    for r in flac.media_columns(odd).collect():
+        if r["doc_id"] in texts:
+            x = [b - 128 for b in texts[r["doc_id"]]]
+            cross = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+            assert r["feature"] == f"n={len(x)};sum={sum(x)};square={sum(v * v for v in x)};cross={cross};peak={max(map(abs, x))}"
+            assert r["media_bytes"] == len(files[r["doc_id"]]) and r["media_sha256"] == hashlib.sha256(files[r["doc_id"]]).hexdigest()
+    broken = bytearray(files[8])
+    broken[-10] ^= 1
+    df = docs([]).sparkSession.createDataFrame([(1, bytes(broken))], "doc_id bigint, media binary")
+    with pytest.raises(Exception, match="Damaged"):
+        flac.read_blocks(df).count()
+
+
 # ---- WARC ----
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=3000), st.booleans()), max_size=5), st.integers(700, 4000), st.integers(1, 999))
 def test_warc_stream_round_trip(records, size, cut):
-    stream = b"".join(bytes(p) for k, (body, again) in enumerate(records) for p in warc.record_pieces(f"urn:page:{k}", "http://x/\né", body, 7 if again else None, "1970-01-01T00:00:00Z", size))
+    stream = b"".join(bytes(p) for k, (body, again) in enumerate(records) for p in warc.record_pieces(f"urn:page:{k}", "http://x/\né", body, "urn:page:7:ab" if again else None, "1970-01-01T00:00:00Z", size))
     got = list(warc.parse(stream[k : k + cut] for k in range(0, len(stream), cut)))
     assert [(r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got] == [(len(b), hashlib.sha1(b).hexdigest(), "revisit" if a else "response", 7 if a else None) for b, a in records]
 
@@ -200,6 +251,30 @@ def test_pages(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_chunks(spark):
+    """Urls of any length, bodies around the bound: chunks number themselves, none is too large, and a revisit names a
+    record that is there."""
+    size = 5000
+    rows = [(k, "u" * (3 * k), "x" * (4000 + 7 * k)) for k in range(0, 300, 5)] + [(1001, "v" * 20_000, "y" * 9999), (1002, "w", "y" * 9999), (1003, "w" * 6000, ""), (1004, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    chunks = warc.write_chunks(df, Workspace(spark, "t"), size=size)
+    got = chunks.toPandas().sort_values(["record_id", "chunk"])
+    assert got.data.map(len).max() <= size and len(got) > len(rows)
+    records, refers = set(), set()
+    for _, g in got.groupby("record_id"):
+        assert g.chunk.tolist() == list(range(len(g))) and (g.chunks == len(g)).all()
+        whole = b"".join(map(bytes, g.data))
+        assert g.digest_so_far.iloc[-1] == hashlib.sha1(whole).hexdigest()
+        [record] = warc.parse([whole])
+        records.add(record["record_id"])
+        refers |= {x.split(b"<")[1].split(b">")[0].decode() for x in whole.split(b"\r\n") if x.startswith(b"WARC-Refers-To:")}
+    assert len(records) == len(rows) and len(refers) == 1 and refers <= records
+    out = {r["page_id"]: r for r in warc.read_chunks(chunks).collect()}
+    for i, url, html in rows:
+        assert out[i]["payload_digest"] == hashlib.sha1((html or "").encode()).hexdigest()
+    assert (out[1001]["refers_to"], out[1002]["refers_to"]) == (1002, None)
+
+
 # ---- packing ----
 
 
@@ -260,6 +335,13 @@ def test_pack(odd, docs):
     assert packing.pack(docs([])).count() == 0
 
 
+def test_repeated_rows_spread(docs, monkeypatch):
+    monkeypatch.setattr(packing, "DOCS_PER_GROUP", 100)
+    out = packing.pack(docs([(1, "a b c")] * 2000).repartition(5), room=64).toPandas()
+    groups = out.groupby(out.sequence_id // (1 << 32)).size()
+    assert len(out) == 2000 and len(groups) == 20 and groups.max() < 200
+
+
 def test_shared_tables(spark):
     ws = Workspace(spark, "t")
     assert ws.table(spark.range(3), "a").count() == 3

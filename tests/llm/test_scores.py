@@ -297,6 +297,46 @@ def test_held_out_accuracy(spark):
     assert len(out) > 50 and (out.predicted == out.quality).mean() > 0.95
 
 
+def plain_statistics(text):
+    """The statistics by loops over the text's bytes and words."""
+    b = text.encode()
+    words, n = b.split(), len(b)
+    if not words:
+        return [n] + [0] * (len(quality.STATS) - 1)
+    w = len(words)
+    count = lambda chars: sum(c in chars for c in b)
+    upper, lower, high = count(range(65, 91)), count(range(97, 123)), count(range(128, 256))
+    letters = max(1, upper + lower + high)
+    marks, shouts, symbols, bars = count(b".,;:'\"?()-"), count(b"!"), count(b"#$%&*@^~=+<>\\/{}[]_`"), count(b"|")
+    lines = [x for x in b.split(b"\n") if x]
+    triples = list(zip(words, words[1:], words[2:]))
+    top = max(words.count(x) for x in set(words))
+    return [n, w, sum(map(len, words)) / w, sum(len(x) > 12 for x in words) / w, upper / letters, count(b"0123456789") / n, marks / w, (shouts + symbols + bars) / n, shouts / w, symbols / w, bars / w, len(lines), n / len(lines), 1 - len(set(lines)) / len(lines), len(set(words)) / w, top / w, 1 - len(set(triples)) / len(triples) if triples else 0, high / letters, sum(x[-1:] in (b"#", b"$", b"%", b"&", b"*", b"!", b"|") for x in words) / w, sum(len(x) <= 3 for x in words) / w]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB é\t\n.!#|9xyz ", max_size=120))
+def test_statistics_equal_plain_loops(text):
+    assert np.allclose(quality.statistics(text), plain_statistics(text))
+
+
+def test_statistics_of_a_very_long_text():
+    text = " ".join(f"a{k % 1500} b" for k in range(700_000))
+    x = dict(zip(quality.STATS, quality.statistics(text), strict=True))
+    assert x["words"] == 1_400_000 and x["same_triples"] == pytest.approx(1 - 3000 / (1_400_000 - 2))
+
+
+def test_training_rows_are_bounded(docs, spark, monkeypatch):
+    """Rows that repeat a labelled id give one row, and labels that contradict each other none."""
+    rows = [(1, f"text {k} of one id") for k in range(3000)] + [(k, f"good words here {k}") for k in range(2, 60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(4, 1), (6, 0)], "doc_id bigint, quality int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.update(x=x, y=y))
+    quality.train(docs(rows), labels)
+    used = [k for k in range(1, 60) if zlib.crc32(str(k).encode()) % 5 and k != 4]
+    assert len(seen["y"]) == len(used) and sorted(seen["y"]) == sorted(k % 2 for k in used)
+
+
 # ---- pipeline ----
 
 

@@ -10,13 +10,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import session
+from tidemark.llm.workspace import Workspace, session
 
 BLOCK = 576
 RATE = 8000
@@ -491,38 +492,86 @@ def features(samples: np.ndarray) -> str:
     return f"n={len(x)};sum={int(x.sum())};square={int((x * x).sum())};cross={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max())}"
 
 
-def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Stores every text as a FLAC file, reads it back, and describes both.
+def _some(keys: list, values: pa.Array, most: int) -> Iterator[tuple[list, list[bytes]]]:
+    """A batch's texts or files, as bytes, up to `most` bytes at a time (or one that is longer)."""
+    who, group, size = [], [], 0
+    for k, x in zip(keys, values, strict=True):
+        b = x.as_py() or b""
+        b = b.encode() if isinstance(b, str) else b
+        if group and size + len(b) > most:
+            yield who, group
+            who, group, size = [], [], 0
+        who.append(k)
+        group.append(b)
+        size += len(b) + BLOCK
+    if group:
+        yield who, group
 
-    The payload is the text's UTF-8 (null: empty) and bytes 255 up to a positive multiple of `block`. Returns doc_id,
-    n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and blocks (the PCM blocks'
-    count). Equal texts give equal values; repeated rows and null ids are kept; columns other than the two named are not
-    read; an empty table gives an empty result. A text of any length is coded LANES blocks at a time.
-    """
 
-    def some(texts: pa.Array) -> Iterator[list[bytes]]:
-        group, size = [], 0
-        for x in texts:
-            b = (x.as_py() or "").encode()
-            if group and size + len(b) > block * LANES // 2:
-                yield group
-                group, size = [], 0
-            group.append(b)
-            size += len(b) + block
-        if group:
-            yield group
+def store_media(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per input row: doc_id, n_bytes and media, the FLAC file of the text's UTF-8 (null: empty) and bytes 255 up
+    to a positive multiple of `block`. Repeated rows and null ids are kept; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for group in some(batch.column(1)):
+            for who, group in _some(batch.column(0).to_pylist(), batch.column(1), block * LANES // 2):
                 files = encode_many([padded(b, block) for b in group], block)
-                for raw, media, back in zip(group, files, decode_many(files), strict=True):
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(back, np.uint8)), len(back) // block))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"])
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(list(map(len, group)), pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     session(df)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long"
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def read_blocks(media: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+    """The PCM blocks of stored files (doc_id, media) that hold samples start..stop: doc_id, block, sample_offset,
+    byte_offset (of the frame, in the file), samples, pcm (8-bit unsigned).
+
+    Only the frames in question are decoded, LANES at a time; each one's checksums are verified, and the file's own where
+    all of it is read. Null files give no blocks, rows that repeat give theirs again.
+    """
+    names, kinds = ["doc_id", "block", "sample_offset", "byte_offset", "samples", "pcm"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not x.is_valid:
+                    continue
+                r, md5 = Reader(x.as_py()), hashlib.md5()
+                end = r.samples if stop is None else min(stop, r.samples)
+                chosen = [(k, p) for k, p in enumerate(r.points) if p[0] < end and p[0] + p[2] > start]
+                frames = r.frames(start, end)
+                for at in range(0, len(chosen), LANES):
+                    rows = []
+                    for size, part in groupby(zip(chosen[at : at + LANES], frames[at : at + LANES], strict=True), key=lambda c: c[1][1]):
+                        part = list(part)
+                        pcm = (decode_frames([f for _, f in part]) + 128).astype(np.uint8)
+                        md5.update((pcm ^ np.uint8(128)).tobytes())
+                        rows += [(doc, k, p[0], r.first + p[1], size, row.tobytes()) for ((k, p), _), row in zip(part, pcm, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if len(chosen) == len(r.points) and r.md5 not in (bytes(16), md5.digest()):
+                    raise Damaged("checksum of the samples")
+
+    session(media)
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, block long, sample_offset long, byte_offset long, samples int, pcm binary")
+
+
+def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """Writes every text as a FLAC file into the shared folder (store_media), reads it from there, and describes both.
+
+    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and blocks
+    (the PCM blocks' count). Equal texts give equal values; repeated rows and null ids are kept; columns other than the
+    two named are not read; an empty table gives an empty result. A text of any length is coded LANES blocks at a time.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for who, files in _some(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(2), block * LANES // 2):
+                rows = []
+                for (doc, n), media, back in zip(who, files, decode_many(files), strict=True):
+                    rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(back, np.uint8)), len(back) // block))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    stored = Workspace(session(df), "flac").table(store_media(df, key, text, block), "media")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long")
