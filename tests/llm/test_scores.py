@@ -33,6 +33,7 @@ def exact(ids, x, k):
 def test_recall(spark, monkeypatch):
     monkeypatch.setattr(hamming, "BASE_BLOCK", 300)
     monkeypatch.setattr(hamming, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(hamming, "SAMPLE", 400)
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((1000, 32)) + 2 * rng.standard_normal((8, 32))[rng.integers(0, 8, 1000)]) * rng.uniform(0.5, 2, (1000, 1))
     x = x.astype(np.float32)
@@ -57,12 +58,33 @@ def test_recall(spark, monkeypatch):
 
 def test_pigeonhole_finds_every_code():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 256, (400, 16)).astype(np.uint8)
+    codes = rng.integers(0, 256, (4000, 16)).astype(np.uint8)
     index = hamming.Index(codes)
-    for radius in (0, 5, 17, 40, 56, 70, 128):
+    for radius in (0, 5, 17, 20, 40, 56, 70, 128):
         q = codes[7] ^ np.packbits(rng.random(128) < 0.1)
         d = np.array([bin(int.from_bytes((c ^ q).tobytes(), "big")).count("1") for c in codes])
         assert index.within(q, radius).tolist() == np.flatnonzero(d <= radius).tolist()
+        near = index.nearest(q, 9)
+        assert near.tolist() == np.flatnonzero(d <= np.sort(d)[8]).tolist()
+    assert index.probed == 4 and index.passed == 4  # up to radius 20 the lists of at most 17 * 8 values are read
+
+
+def test_lists_are_probed_where_neighbours_are_near():
+    """Vectors in tight groups: the learned radius is small, and every search goes through the lists."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((400, 64))
+    x = centres[rng.integers(0, 400, 20_000)] + 0.05 * rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = hamming.learn(x[:8000], 1.0, 5)
+    index, ids = hamming.Index(codes.encode(x, False)), np.arange(len(x))
+    hits = 0
+    for n in range(0, 20_000, 100):
+        at = index.within(codes.encode(x[n : n + 1], True)[0], codes.radius)
+        got, _ = hamming.best(x, ids, at[at != n], x[n], 5)
+        scores = x @ x[n]
+        scores[n] = -2
+        hits += len(set(got.tolist()) & set(np.argsort(-scores)[:5].tolist()))
+    assert codes.radius <= 24 and index.probed == 200 and index.passed == 0 and hits >= 0.95 * 5 * 200
 
 
 def test_odd_vectors(spark):
@@ -74,6 +96,34 @@ def test_odd_vectors(spark):
     assert hamming.neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rare", [64, 2])
+def test_repeated_ids_and_lengths(spark, monkeypatch, rare):
+    """An id of a third of all rows, with one vector or many; vectors of several lengths, each searched in its own."""
+    monkeypatch.setattr(hamming, "RARE_LENGTH", rare)
+    monkeypatch.setattr(hamming, "BASE_BLOCK", 500)
+    rng = np.random.default_rng(4)
+    unit = lambda d: [round(float(v), 3) for v in rng.standard_normal(d)]
+    hot = unit(16)
+    rows = [(5, hot)] * 600 + [(5, unit(16)) for _ in range(400)] + [(k, unit(16)) for k in range(6, 1500)] + [(k, unit(8)) for k in range(2000, 2100)] + [(20, unit(16))] * 3 + [(2020, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    out = hamming.neighbours(df, k=7).toPandas()
+    queries = [(i, v) for i, v in rows if i % 20 == 0]
+    assert len(out) == sum(min(7, sum(len(w) == len(v) and j != i for j, w in rows)) for i, v in queries)
+    hits = total = 0
+    for i, v in queries:
+        if sum(j == i and len(w) == len(v) for j, w in rows) > 1 or i == 2020:
+            continue
+        want = sorted((-float((np.array(v) * np.array(w)).sum()), j) for j, w in rows if j != i and len(w) == len(v))[:7]
+        got = out[out.query_id == i].sort_values("rank")
+        assert sorted(zip(-got.score, got.vec_id)) == list(zip(-got.score, got.vec_id))
+        total += 7
+        hits += len([x for x in zip(-got.score, got.vec_id) if any(abs(x[0] - y[0]) < 1e-9 and x[1] == y[1] for y in want)])
+    assert hits >= 0.9 * total
+    alone = spark.createDataFrame([(40, hot)] * 3000 + [(60, hot)] * 3, "vec_id bigint, embedding array<double>")
+    got = hamming.neighbours(alone, k=2).groupBy("query_id", "vec_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(40, 60, 6000), (60, 40, 6)]
+
+
 # ---- pseudonyms ----
 
 KEY = b"a key for tests"

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,11 @@ SAMPLE = 8192
 #: Share of the sample's true neighbours that the radius must reach.
 AIM = 0.98
 #: Bits of a substring, each of which has an index of its own.
-SUB = 8
-#: Vectors and queries that meet in one task.
-BASE_BLOCK, QUERY_BLOCK = 8192, 2048
+SUB = 16
+#: Vectors and queries that meet in one task, and the blocks of vectors that smaller tables are cut into.
+BASE_BLOCK, QUERY_BLOCK, BLOCKS = 32_768, 8192, 6
+#: Vector lengths that hold less than one in this many vectors have no codes: their queries meet all of that length.
+RARE_LENGTH = 64
 
 
 @dataclass(frozen=True)
@@ -44,9 +48,6 @@ class Codes:
         return np.packbits((self.lifted(x, query) - self.mean) @ self.turns > 0, axis=1)
 
 
-_ONES = np.array([bin(k).count("1") for k in range(256)], dtype=np.uint8)
-
-
 def learn(x: np.ndarray, top: float, k: int, groups: int = 2, rounds: int = 15, seed: int = 0) -> Codes:
     """Iterative quantization: rotates the principal axes until signs lose least, from `groups` random starts; then the
     least radius at which AIM of the sample's own k nearest are within reach."""
@@ -56,9 +57,9 @@ def learn(x: np.ndarray, top: float, k: int, groups: int = 2, rounds: int = 15,
     mean = y.mean(0)
     z = y - mean
     _, _, axes = np.linalg.svd(z, full_matrices=False)
-    bits = max(SUB, x.shape[1] // SUB * SUB)
+    bits = -(-x.shape[1] // SUB) * SUB
     axes = axes[: min(bits, len(axes))].T
-    if axes.shape[1] < bits:  # fewer vectors than bits
+    if axes.shape[1] < bits:  # fewer vectors or dimensions than bits
         axes = np.concatenate([axes, np.zeros((len(axes), bits - axes.shape[1]))], 1)
     p, turns = z @ axes, []
     for _ in range(groups):
@@ -71,39 +72,83 @@ def learn(x: np.ndarray, top: float, k: int, groups: int = 2, rounds: int = 15,
     some = x[:: max(1, len(x) // 512)]
     q, b = codes.encode(some, True), codes.encode(x, False)
     order = np.argsort(-(some @ x.T), axis=1, kind="stable")[:, : k + 1]
-    apart = np.array([_ONES[b[row] ^ code].sum(1, dtype=np.int64) for row, code in zip(order, q, strict=True)])
+    apart = np.array([np.bitwise_count(b[row] ^ code).sum(1, dtype=np.int64) for row, code in zip(order, q, strict=True)])
     return Codes(mean, codes.turns, top, int(np.quantile(apart, AIM, method="higher")) if apart.size else b.shape[1] * 8)
 
 
+#: The values of a substring in the order of their bits, and how many have at most 0, 1, .. bits.
+_FLIPS = np.argsort(np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)), kind="stable")
+_UP_TO = np.cumsum([math.comb(SUB, k) for k in range(SUB + 1)])
+
+
 class Index:
-    """For each substring, which codes hold each of its values."""
+    """Codes with, for each substring, the list of the codes that hold each of its values.
+
+    `probed` and `passed` count the searches that went through the lists, and those whose lists would have named half of
+    all codes or more, so that all codes were compared in turn.
+    """
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.lists = []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            self.lists.append((order, np.searchsorted(codes[order, s], np.arange(257))))
+        wide = -(-codes.shape[1] // 8) * 8
+        padded = np.zeros((len(codes), wide), dtype=np.uint8)
+        padded[:, : codes.shape[1]] = codes
+        self.wide, self.words, self.parts = wide, padded.view(np.uint64), self.substrings(codes)
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+        self.probed = self.passed = 0
+
+    @staticmethod
+    def substrings(codes: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(codes).view(">u2").astype(np.int64)
+
+    def distances(self, code: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        word = np.zeros(self.wide, dtype=np.uint8)
+        word[: len(code)] = code
+        return np.bitwise_count((self.words if at is None else self.words[at]) ^ word.view(np.uint64)).sum(1, dtype=np.int64)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every code within the radius: by pigeonhole, such a code is within radius // substrings in some substring,
-        and within one less in all substrings past the remainder; the lists of those values are probed."""
-        m = self.codes.shape[1]
+        """Every code within the radius. By pigeonhole such a code is within radius // substrings in some substring, and
+        within one less in all substrings past the remainder; the lists of those values are probed."""
+        n, m = self.parts.shape
         each, rest = divmod(radius, m)
-        hit = np.zeros(len(self.codes), dtype=bool)
-        for s in range(m):
-            near = each if s <= rest else each - 1
-            order, starts = self.lists[s]
-            values = np.flatnonzero(_ONES[np.arange(256) ^ int(code[s])] <= near)
-            if 2 * len(values) >= 256 or len(values) > 32:  # many values: mark through the codes themselves
-                on = np.zeros(256, dtype=bool)
-                on[values] = True
-                hit |= on[self.codes[:, s]]
-            else:
-                for v in values.tolist():
-                    hit[order[starts[v] : starts[v + 1]]] = True
-        at = np.flatnonzero(hit)
-        return at[_ONES[self.codes[at] ^ code].sum(1, dtype=np.int64) <= radius]
+        reach = [min(SUB, each if s <= rest else each - 1) for s in range(m)]
+        named = sum(int(_UP_TO[near]) for near in reach if near >= 0)
+        if 2 * named * max(n, 1 << SUB) < n << SUB:
+            if not self.lists:
+                for s in range(m):
+                    order = np.argsort(self.parts[:, s], kind="stable")
+                    self.lists.append((order, np.searchsorted(self.parts[order, s], np.arange((1 << SUB) + 1))))
+            found, own = [], self.substrings(code[None, :])[0]
+            for s, near in enumerate(reach):
+                if near >= 0:
+                    order, starts = self.lists[s]
+                    values = _FLIPS[: _UP_TO[near]] ^ own[s]
+                    begin, size = starts[values], starts[values + 1] - starts[values]
+                    shift = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                    found.append(order[shift + np.arange(len(shift))])
+            at = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            if 2 * len(at) < n:
+                self.probed += 1
+                at = np.unique(at)
+                return at[self.distances(code, at) <= radius]
+        self.passed += 1
+        return np.flatnonzero(self.distances(code) <= radius)
+
+    def nearest(self, code: np.ndarray, k: int) -> np.ndarray:
+        """The k nearest codes, and all that are as near as the last of them."""
+        far = self.distances(code)
+        return np.flatnonzero(far <= np.partition(far, k - 1)[k - 1]) if k < len(far) else np.arange(len(far))
+
+
+def best(x: np.ndarray, ids: np.ndarray, at: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and inner products of the k best of x[at], ties to the smaller id. Products are added up alike for every row,
+    so that equal vectors tie."""
+    scores = x[at] @ q
+    if len(at) > k:
+        least = np.partition(scores, len(at) - k)[len(at) - k]
+        at = at[scores >= least - 1e-9 * max(1.0, abs(least))]
+    scores = (x[at] * q).sum(1)
+    top = np.lexsort((ids[at], -scores))[:k]
+    return ids[at[top]], scores[top]
 
 
 def _usable(vector: Column) -> Column:
@@ -116,53 +161,79 @@ def neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     """The k vectors of largest inner product with each query (ids divisible by `every`): query_id, rank, vec_id, score.
 
     Scores are inner products of the original vectors in double precision, nearest first, ties to the smaller id. The
-    codes are learned from a bounded sample; every vector is coded and searched. Vectors and queries meet block by block
-    (at most about BASE_BLOCK by QUERY_BLOCK), where the substrings' lists give every code within the radius and those
-    are reranked; a query that gets fewer than k there is held against the whole block. So equal vectors in any number
-    and hot buckets never gather in one task, and a query has k neighbours wherever there are as many.
-
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids or vectors
-    whose length is not the most common one. A repeated id counts as one more vector; a query's own id is left out.
-    Other columns are not read; an empty table gives an empty result.
+    codes are learned from a bounded sample; every vector is coded, and the coded vectors are written to the shared
+    folder once. Vectors and queries meet block by block (at most about BASE_BLOCK by QUERY_BLOCK): there the substrings'
+    lists give every code within the radius, and those are reranked; where fewer than k are, the radius grows until k
+    are. Blocks are dealt by a row's place in its input too, so that equal vectors and repeated ids in any number never
+    gather in one task, and a query has k neighbours wherever there are as many.
+
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids. Vectors meet
+    those of their own length; where a length is rare (RARE_LENGTH), all of them. Rows that repeat an id are as many more
+    vectors, and as many queries; a query never meets rows of its own id. Other columns are not read; an empty table
+    gives an empty result.
     """
     spark = session(df)
     ws = Workspace(spark, "hamming")
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null").where(_usable(F.col("v")))
-    shape = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("top")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if shape is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == shape["d"])
-    few = least_hashes(rows, "vec_id", sample, shape["n"]).toPandas()
-    codes = learn(np.stack(few["v"]), shape["top"], k)
+    rows = rows.select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("spread"))
+    shapes = ws.table(rows.groupBy("d").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("top")), "shapes")
+    total = shapes.agg(F.sum("n")).first()[0] or 0
+    shape = {r["d"]: r["top"] for r in shapes.where(F.col("n") * RARE_LENGTH >= total).collect()}  # RARE_LENGTH rows at most
+    few = least_hashes(rows.where(F.col("d").isin(list(shape))), "spread", sample, total).select("d", "v").toPandas() if shape else None
+    codes = {d: learn(np.stack(few["v"][few["d"] == d]), top, k) for d, top in shape.items() if (few["d"] == d).any()}
     known = spark.sparkContext.broadcast(codes)
 
-    n_base = max(1, math.ceil(shape["n"] / BASE_BLOCK))
-    n_query = max(1, math.ceil(shape["n"] / every / QUERY_BLOCK))
-    block = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    names = ["vec_id", "d", "spread", "v", "code", "asked"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = known.value
+        for batch in batches:
+            lengths = batch.column("d").to_numpy()
+            for d in np.unique(lengths).tolist():
+                part = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                x = part.column("v").flatten().to_numpy().reshape(-1, d).astype("<f8")
+                none = [b""] * len(x)
+                coded = [c.tobytes() for c in codes[d].encode(x, False)] if d in codes else none
+                asked = [c.tobytes() for c in codes[d].encode(x, True)] if d in codes else none
+                ids = part.column("vec_id")
+                asked = [c if i % every == 0 else None for c, i in zip(asked, ids.to_pylist(), strict=True)]
+                cols = [ids, part.column("d"), part.column("spread"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(coded, pa.binary()), pa.array(asked, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    coded = ws.table(rows.mapInArrow(encode, "vec_id long, d int, spread long, v binary, code binary, asked binary"), "coded")
+    n_base = max(1, math.ceil(total / BASE_BLOCK), min(BLOCKS, total // 4096))
+    n_query = max(1, math.ceil(total / every / QUERY_BLOCK))
+    block = lambda salt, n: F.pmod(F.xxhash64("spread", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = rows.select("vec_id", "v", block("base", n_base).alias("b"), each(n_query).alias("q"))
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", block("query", n_query).alias("q"), each(n_base).alias("b"))
+    base = coded.select("d", "vec_id", "v", "code", block("base", n_base).alias("b"), each(n_query).alias("q"))
+    queries = coded.where("asked is not null").select("d", "vec_id", "v", "asked", "spread", block("query", n_query).alias("q"), each(n_base).alias("b"))
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def search(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        d, who, spreads, found, scores = int(group[0]), [], [], [], []
         if len(left) and len(right):
-            codes = known.value
-            ids, x = left["vec_id"].to_numpy(), np.stack(left["v"])
-            index = Index(codes.encode(x, False))
-            y = np.stack(right["v"])
-            for q, code, who in zip(y, codes.encode(y, True), right["vec_id"].tolist(), strict=True):
-                at = index.within(code, codes.radius)
-                at = at[ids[at] != who]
-                if len(at) < k:
-                    at = np.flatnonzero(ids != who)
-                scores = x[at] @ q
-                best = np.lexsort((ids[at], -scores))[:k]
-                out.append(pd.DataFrame({"query_id": who, "vec_id": ids[at[best]], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = base.groupBy("b", "q").cogroup(queries.groupBy("b", "q")).applyInPandas(search, "query_id long, vec_id long, score double")
+            codes = known.value.get(d)
+            matrix = lambda column, kind, n: np.frombuffer(b"".join(column), dtype=kind).reshape(-1, n)
+            ids, x, y = left["vec_id"].to_numpy(), matrix(left["v"], "<f8", d), matrix(right["v"], "<f8", d)
+            everyone = np.arange(len(ids))
+            if codes:
+                index, asked = Index(matrix(left["code"], np.uint8, codes.turns.shape[1] // 8)), matrix(right["asked"], np.uint8, codes.turns.shape[1] // 8)
+            for n, (q, own, spread) in enumerate(zip(y, right["vec_id"].tolist(), right["spread"].tolist(), strict=True)):
+                at = index.within(asked[n], codes.radius) if codes else everyone
+                at = at[ids[at] != own]
+                if codes and len(at) < k:
+                    at = index.nearest(asked[n], k + int((ids == own).sum()))
+                    at = at[ids[at] != own]
+                some, values = best(x, ids, at, q, k)
+                found.append(some)
+                scores.append(values)
+                who.append(np.full(len(some), own))
+                spreads.append(np.full(len(some), spread))
+        parts = [np.concatenate(p) if p else np.zeros(0, dtype=t) for p, t in ((who, np.int64), (spreads, np.int64), (found, np.int64), (scores, np.float64))]
+        return pd.DataFrame(dict(zip(("query_id", "spread", "vec_id", "score"), parts, strict=True)))
+
+    found = base.groupBy("d", "b", "q").cogroup(queries.groupBy("d", "b", "q")).applyInPandas(search, "query_id long, spread long, vec_id long, score double")
     if n_base > 1:
         found = ws.table(found, "found")
-    ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ws.drop("coded")
+    ranks = Window.partitionBy("query_id", "spread").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -197,8 +197,9 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
 
 
 def least_hashes(df: DataFrame, column: str, n: int, total: int) -> DataFrame:
-    """The n rows of the least hashes of `column`, of `total`. Hashes beyond what n rows can need are dropped first, so
-    that what the tasks send to the driver together is bounded by n, and not by n for each of them."""
+    """The n rows of the least hashes of `column`, of `total` rows with different values there. Hashes beyond what n rows
+    can need are dropped first, so that what the tasks send to the driver together is bounded by n, and not by n for each
+    of them."""
     h, share = F.xxhash64(column), (n + 8 * n**0.5 + 64) / max(1, total)
     some = df if share >= 1 else df.where(h < F.lit(int(share * 2**64) - (1 << 63)))
     return some.orderBy(h, column).limit(n)
