@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import Workspace, session
+from tidemark.llm.workspace import session
 
 BLOCK = 576
 RATE = 8000
@@ -556,7 +556,7 @@ def read_blocks(media: DataFrame, start: int = 0, stop: int | None = None) -> Da
 
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Writes every text as a FLAC file into the shared folder (store_media), reads it from there, and describes both.
+    """Stores every text as a FLAC file in a column (store_media), reads that back, and describes both.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and blocks
     (the PCM blocks' count). Equal texts give equal values; repeated rows and null ids are kept; columns other than the
@@ -573,5 +573,4 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", block:
                     rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(np.frombuffer(back, np.uint8)), len(back) // block))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    stored = Workspace(session(df), "flac").table(store_media(df, key, text, block), "media")
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long")
+    return store_media(df, key, text, block).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long")
