@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,20 +15,27 @@ def shingles(text, n=5):
 
 
 def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in rows if i is not None}
+    """(doc_id, n_shingles, component_id); sets are the nodes, named by the smallest id that holds them."""
+    sets = [(i, frozenset(shingles(t))) for i, t in rows]
+    least = {}
+    for i, x in sets:
+        if i is not None and x:
+            least[x] = min(i, least.get(x, i))
+    distinct, root = list(least), {x: x for x in least}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[k + 1 :]:
-            if i is not None and j is not None and a and b and 100 * len(a & b) >= 75 * len(a | b):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return sorted(((i, len(s), None if i is None else find(i)) for i, s in sets), key=repr)
+    for k, x in enumerate(distinct):
+        for y in distinct[k + 1 :]:
+            if 100 * len(x & y) >= 75 * len(x | y):
+                root[find(y)] = find(x)
+    comp = {}
+    for x in distinct:
+        comp[find(x)] = min(least[x], comp.get(find(x), least[x]))
+    return sorted(((i, len(x), None if i is None else comp[find(x)] if x else i) for i, x in sets), key=repr)
 
 
 def got(df):
@@ -52,13 +60,40 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components_equal_brute_force(docs, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT", 3 if seed == 2 else 512)  # hot lists as well
+    if seed > 1:  # every list long, and cut into pieces and blocks
+        monkeypatch.setattr(ngram_join, "PIECE", 5)
+        monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(ngram_join, "FEW", 2)
+        monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    if seed == 3:
+        monkeypatch.setattr(ngram_join, "BITMAP_IDS", 10)
     rows = corpus(seed, 200)
     assert got(docs(rows)) == brute(rows)
 
 
+def paragraphs(n, seed=0):
+    """Documents of 4 of 20 paragraphs: all share passages with a fifth of the others, few link."""
+    rng = random.Random(seed)
+    parts = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(20)]
+    return [(i, " ".join(rng.sample(parts, 4))) for i in range(n)]
+
+
+def test_shared_paragraphs(docs, monkeypatch):
+    """Exact, and the pairs whose sets are compared grow far less than the documents' square."""
+    asked = {}
+    verify = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, sets: (asked.update(n=asked.get("n", 0) + pairs.distinct().count()), verify(pairs, sets))[1])
+    grown = []
+    for n in (400, 800):
+        asked.clear()
+        rows = paragraphs(n)
+        assert got(docs(rows)) == brute(rows)
+        grown.append(asked["n"])
+    assert grown[1] <= 3.5 * grown[0] and grown[1] < 0.05 * 800 * 800 / 2, grown
+
+
 def brute_links(rows):
     """n_links of each row, and the pairs of different linked sets."""
     nodes = {(i, frozenset(shingles(t))) for i, t in rows if i is not None and shingles(t)}
@@ -67,12 +102,13 @@ def brute_links(rows):
     mates = {s: [t for t in sets if linked(s, t)] for s in sets}
     holders = {s: sum(t == s for _, t in nodes) for s in sets}
     counts = [(i, None if i is None else sum(holders[t] for t in mates[s]) - 1 if (s := frozenset(shingles(x))) else 0) for i, x in rows]
-    rep = {s: min(i for i, t in nodes if t == s) for s in sets}
-    return sorted(counts, key=repr), sorted(tuple(sorted((rep[s], rep[t]))) for s in sets for t in mates[s] if s != t)[::2]
+    return sorted(counts, key=repr), {frozenset((s, t)) for s in sets for t in mates[s] if s != t}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_every_link_counts(docs, odd, seed):
+def test_every_link_counts(docs, odd, seed, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(ngram_join, "BLOCK", 7)
     rows = corpus(seed, 160) + [(r["doc_id"], r["text"]) for r in odd.collect()]
     rng = random.Random(seed)
     rows += [(i + 5000, t) for i, t in rng.sample(rows[:160], 20)]  # exact copies
@@ -82,24 +118,64 @@ def test_every_link_counts(docs, odd, seed):
     rows += rows[:10]
     df = docs(rows)
     counts, pairs = brute_links(rows)
-    assert sorted(((r["doc_id"], r["n_links"]) for r in ngram_join.join_documents(df, links=True).collect()), key=repr) == counts
-    assert sorted(tuple(r) for r in ngram_join.linked_pairs(df).collect()) == pairs and len(pairs) > 100
+    out = ngram_join.join_documents(df, links=True).cache()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in out.collect()), key=repr) == counts
+    node = {frozenset(shingles(t)): int(ngram_join.nodes(ngram_join.Shingler().sets([t]))[0]) for _, t in rows}
+    linked = [tuple(r) for r in ngram_join.linked_pairs(df).collect()]
+    assert len(linked) == len(set(linked)) == len(pairs) > 100
+    assert {frozenset(p) for p in linked} == {frozenset(node[s] for s in p) for p in pairs}
+    assert {r["node"] for r in out.collect()} == set(node.values())
     assert ngram_join.linked_pairs(docs([])).count() == 0
 
 
+def test_the_matrix_equals_plain_sets():
+    rng = random.Random(7)
+    base = list(range(300))
+    sets = []
+    for _ in range(60):
+        gone = set(rng.sample(base, rng.choice([0, 5, 20, 60, 100])))
+        sets.append(np.array(sorted(set(base) - gone | {rng.randrange(1000, 2000) for _ in range(rng.choice([0, 5, 40]))}), dtype=np.int64))
+    rows, cols = np.arange(25), np.arange(20, 60)
+    got = ngram_join.linked_matrix(sets, rows, cols, 75, 100)
+    for i, r in enumerate(rows):
+        for j, c in enumerate(cols):
+            x, y = set(sets[r].tolist()), set(sets[c].tolist())
+            assert got[i, j] == (100 * len(x & y) >= 75 * len(x | y))
+
+
+def test_blocks_that_cannot_link_are_skipped():
+    sizes, left = np.repeat([10, 12, 40, 44, 200], 4), np.repeat([10, 12, 4, 44, 190], 4)
+    met = [(x.start // 4, y.start // 4) for x, y in ngram_join.blocks_may_link(sizes, left, 75, 100, 4)]
+    assert met == [(0, 0), (0, 1), (1, 1), (3, 3), (4, 4)]  # sizes apart, and a block whose places leave too little
+
+
 def test_odd_rows(odd, docs):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(odd) == brute(rows)
     assert got(docs([])) == []
 
 
-def test_keep_one(odd):
+def test_keep_one(odd, docs):
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 8, 9, 10] and ids.count(None) == 2
 
 
+def test_keep_one_loses_no_text(docs):
+    """An id of a third of all rows, with one text often and many others: each text or a linked one stays."""
+    base = [f"b{k}" for k in range(60)]
+    near = lambda k: " ".join(base[:k] + ["new"] + base[k + 1 :])
+    rows = [(5, "one text that is there again and again")] * 40 + [(5, f"text {k} of its own and nothing like it at all {k}") for k in range(30)]
+    rows += [(5, near(1)), (5, near(2)), (9, near(3)), (5, ""), (5, "  "), (None, near(4)), (7, None)] + [(k, "one text that is there again and again") for k in range(20, 40)]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(rows)).collect()]
+    assert sorted(t for i, t in kept if i == 5 and t.startswith("text ")) == sorted(t for _, t in rows[40:70])
+    assert sum(t == "one text that is there again and again" for _, t in kept) == 1
+    assert sum((t or "").startswith("b0") or (t or "").startswith("new") for i, t in kept if i is not None) == 1
+    assert sorted((i, t) for i, t in kept if t is not None and not t.strip()) == [(5, ""), (5, "  ")] and (7, None) in kept and (None, near(4)) in kept
+    assert len(kept) == 30 + 1 + 1 + 2 + 1 + 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aB é\t\n", max_size=30), max_size=6))
 def test_shingle_counts(texts):

@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join: prefix lists, position skipping, and answers derived from similar sets' answers."""
+"""Exact n-gram Jaccard join: lists cut into blocks that sizes and positions skip, and answers derived from similar sets."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,16 @@ from tidemark.llm.workspace import PARTIAL_SUMS, SlotCounter, Workspace, compone
 #: Counters of the frequency sketch that orders shingles, as a power of two. Any order is right; a wider sketch tells
 #: rarer shingles apart in a larger corpus.
 SKETCH_BITS = 20
-#: Shingles in more sets than this (and than four times a counter's mean) have their lists kept apart.
-HOT = 512
+#: Lists of at most so many sets give all their pairs at once; longer ones are compared with pivots first.
+FEW = 8
+#: Entries of a list that one task takes (by the sketch, which never counts too few): longer lists are cut into pieces.
+PIECE = 4096
+#: Sets of a block that a list or a component is cut into.
+BLOCK = 256
+#: Pivots, at most, of a list that lies in several components after the first comparisons (fewer in shorter lists).
+PIVOTS = 8
+#: Ids of which a bitmap is made and sent to the tasks; of more, texts are joined or all of them read.
+BITMAP_IDS = 1 << 20
 #: Words whose hashes a worker keeps.
 CACHE = 300_000
 
@@ -69,26 +78,35 @@ class Shingler:
         return out
 
 
-def needed(a: Column, b: Column, num: int, den: int) -> Column:
-    """The least intersection of sets of a and b shingles with den * i >= num * (a + b - i)."""
-    return F.ceil(F.lit(num) * (a + b) / F.lit(num + den))
-
-
 def similar(i: Column, a: Column, b: Column, num: int, den: int) -> Column:
+    """Whether sets of a and b shingles with i in common link."""
     return F.lit(den) * i >= F.lit(num) * (a + b - i)
 
 
-def may_link(a: str, i: str, b: str, j: str, num: int, den: int) -> Column:
-    """Sizes a, b and places i, j (from 0) of the first common shingle: whether what is left can still suffice. A
-    filter on rows that a join on the shingle has made; lists have no blocks of sizes or places that it could skip."""
-    rest = F.least(F.col(a) - F.col(i), F.col(b) - F.col(j))
-    return (F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)) & (F.lit(den + num) * rest >= F.lit(num) * (F.col(a) + F.col(b)))
+def may_link(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Sizes a, b and places i, j (from 0) of the first common shingle: whether what is left can still suffice."""
+    rest = np.minimum(a - i, b - j)
+    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((den + num) * rest >= num * (a + b))
+
+
+def blocks_may_link(sizes: np.ndarray, left: np.ndarray, num: int, den: int, block: int) -> Iterator[tuple[slice, slice]]:
+    """Pairs of blocks (the second not before the first) of a list sorted by size, in which some pair may link; `left` is
+    what follows each set's place. All others are skipped, by their least and greatest sizes and places alone."""
+    cuts = [slice(k, min(k + block, len(sizes))) for k in range(0, len(sizes), block)]
+    low, high, most = (np.array([f(v[c]) for c in cuts]) for f, v in ((np.min, sizes), (np.max, sizes), (np.max, left)))
+    for x, cut in enumerate(cuts):
+        # sizes grow along the list, so once a block is too large for this one all later ones are
+        for y in range(x, len(cuts)):
+            if num * low[y] > den * high[x]:
+                break
+            if (den + num) * min(most[x], most[y]) >= num * (low[x] + low[y]):
+                yield cut, cuts[y]
 
 
 def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """One pass: of each document n_shingles and a 128-bit fingerprint of its set; of each task its frequency counts."""
-    schema = f"doc_id long, n_shingles long, f1 long, f2 long, {PARTIAL_SUMS}"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """One pass: of each document n_shingles and its set's hash (node); of each task its counts of the sketch."""
+    schema = f"doc_id long, n_shingles long, node long, {PARTIAL_SUMS}"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,163 +115,339 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
             for ids, texts in text_groups(batch.column(0).to_pylist(), batch.column(1)):
                 sets = shingler.sets(texts)
                 counter.add((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64))
-                prints = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), dtype=np.int64).reshape(-1, 2)
                 none = pa.nulls(len(ids), pa.int64())
-                cols = [pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), none, none, pa.nulls(len(ids), pa.binary())]
+                cols = [pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes(sets)), none, none, pa.nulls(len(ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
         rows = counter.rows()
-        cols = [*[[None] * len(rows)] * 4, *zip(*rows, strict=True)] if rows else [[]] * 7
+        cols = [*[[None] * len(rows)] * 3, *zip(*rows, strict=True)] if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _entries(docs: DataFrame, wanted: np.ndarray, levels: np.ndarray, hot: int, n: int, bits: int, num: int, den: int) -> DataFrame:
-    """The prefix of every wanted set: token, id, size, pos, hot. Rare shingles (by the sketch) come first in the order."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((wanted, levels))  # both of fixed size
-    wide = len(wanted).bit_length() - 1
+def nodes(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    return np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=8).digest() for h in sets), dtype=np.int64)
+
+
+def _wanted(ids: DataFrame, column: str):
+    """A bitmap that all ids of the column pass, for the tasks; None for more ids than BITMAP_IDS."""
+    some = ids.select(column).where(F.col(column).isNotNull()).distinct()
+    if some.count() > BITMAP_IDS:
+        return None
+    return ids.sparkSession.sparkContext.broadcast(id_bitmap(some, column))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple[list, list[str | None]]]:
+    """Some MB of ids and texts at a time, of the ids that pass the bitmap."""
+    for batch in batches:
+        if known is not None:
+            slots = id_slots(batch.column(0).to_numpy(zero_copy_only=False), len(known.value).bit_length() - 1)
+            batch = batch.take(pa.array(np.flatnonzero(known.value[slots])))
+        if len(batch):
+            yield from text_groups(batch.column(0).to_pylist(), batch.column(1))
+
+
+def _entries(docs: DataFrame, reps: DataFrame, counts: np.ndarray, n: int, bits: int, num: int, den: int) -> DataFrame:
+    """The prefix of every set: token, piece, pieces, node, size, pos. Rare shingles (by the sketch) come first in the
+    order. A list that may be long has as many pieces as it needs; a set's hash decides its piece. Copies that the bitmap
+    lets through give their set's entries again (once in a task while it remembers)."""
+    levels = np.floor(64 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint16)  # counts end at 2^32
+    spread = docs.sparkSession.sparkContext.broadcast(levels)  # of the sketch's size
+    known = _wanted(reps, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, levels = known.value
-        shingler = Shingler(n)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(wanted[id_slots(ids, wide)])
-            if not len(keep):
-                continue
-            texts = batch.column(1).take(pa.array(keep))
-            for who, some in text_groups(ids[keep].tolist(), texts):
-                tokens, owners, sizes, places = [], [], [], []
-                for i, h in zip(who, shingler.sets(some), strict=True):
-                    if not len(h):
-                        continue
-                    take = len(h) - -(-num * len(h) // den) + 1
-                    order = np.argsort(levels[(h >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:take]
-                    tokens.append(h[order])
-                    owners.append(np.full(take, i))
-                    sizes.append(np.full(take, len(h)))
-                    places.append(np.arange(take))
-                if tokens:
-                    t = np.concatenate(tokens)
-                    often = levels[(t >> np.uint64(64 - bits)).astype(np.int64)] >= hot
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(often)], ["token", "id", "size", "pos", "hot"])
-
-    return docs.where("doc_id is not null").mapInArrow(run, "token long, id long, size int, pos int, hot boolean")
-
-
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id, its set and the set's fingerprint (f1, f2), for the ids asked for (and what else passes the bitmap)."""
-    wanted = id_bitmap(ids, "id")
-    known = docs.sparkSession.sparkContext.broadcast(wanted)
-    wide = len(wanted).bit_length() - 1
+        levels, shingler, told = spread.value, Shingler(n), set()
+        for _, some in _texts(batches, known):
+            tokens, owners, sizes, places = [], [], [], []
+            sets = shingler.sets(some)
+            for node, h in zip(nodes(sets).tolist(), sets, strict=True):
+                if not len(h) or node in told:
+                    continue
+                if len(told) >= CACHE:
+                    told.clear()
+                told.add(node)
+                take = len(h) - -(-num * len(h) // den) + 1
+                order = np.argsort(levels[(h >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:take]
+                tokens.append(h[order])
+                owners.append(np.full(take, node))
+                sizes.append(np.full(take, len(h)))
+                places.append(np.arange(take))
+            if tokens:
+                t, who = np.concatenate(tokens), np.concatenate(owners)
+                most = np.exp2((levels[(t >> np.uint64(64 - bits)).astype(np.int64)] + 1) / 64)
+                pieces = np.ceil(most / PIECE).astype(np.int64)
+                piece = (who.view(np.uint64) >> np.uint64(16)).astype(np.int64) % pieces
+                cols = (t.view(np.int64), piece.astype(np.int32), pieces.astype(np.int32), who, np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["token", "piece", "pieces", "node", "size", "pos"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "token long, piece int, pieces int, node long, size int, pos int")
+
+
+MET = ["long", "token", "piece", "pieces", "a", "b", "size", "pos"]
+
+
+def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by token, piece, size, pos and node -> pairs (a, b) to compare, and the entries of long lists.
+
+    Lists of one set vanish, those of up to FEW give every pair that sizes and places let through. Of longer ones, and of
+    lists in several pieces, the set of the least hash is the pivot, which is paired with all others let through; their
+    entries are handed on for what is then left open.
+    """
+    held, size = [], 0
+
+    def emit(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        token, piece, pieces, node, sizes, pos = cols
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1]) | (node[1:] != node[:-1])])
+        token, piece, pieces, node, sizes, pos = (c[new] for c in cols)
+        begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1])]))
+        lengths = np.diff(np.append(begins, len(token)))
+        split = pieces[begins] > 1
+        found = []
+
+        def pair(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = x.ravel(), y.ravel()
+            good = may_link(sizes[x], pos[x], sizes[y], pos[y], num, den)
+            found.append(np.stack([node[x[good]], node[y[good]]], 1))
+
+        for n in range(2, FEW + 1):
+            rows = begins[(lengths == n) & ~split]
+            i, j = np.triu_indices(n, 1)
+            pair(rows[:, None] + i[None, :], rows[:, None] + j[None, :])
+        some = np.flatnonzero((lengths > FEW) | split)
+        keep = [np.arange(begins[k], begins[k] + lengths[k]) for k in some.tolist()]
+        for rows in keep:
+            pivot = rows[node[rows].argmin()]
+            rest = rows[rows != pivot]
+            pair(np.full(len(rest), pivot), rest)
+        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+        if len(pairs):
+            none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), *none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int32())] * 2], MET)
+        if keep:
+            at = np.concatenate(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), pa.array(token[at]), pa.array(piece[at]), pa.array(pieces[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(sizes[at]), pa.array(pos[at])], MET)
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        cols = [np.concatenate([h[k] for h in held]) for k in range(6)] if held else []
+        held, size = [], 0
+        if not cols or not len(cols[0]):
+            return
+        stop = len(cols[0])
+        if not last:  # the last list may go on
+            stop = int(np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))[-1])
+            held, size = [[c[stop:] for c in cols]], len(cols[0]) - stop
+        if stop:
+            yield from emit([c[:stop] for c in cols], last)
+
+    for batch in batches:
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
+        size += len(batch)
+        if size >= most:
+            yield from flush(False)
+    yield from flush(True)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node, size and the set itself of the nodes asked for (node, rep), once each."""
+    known = _wanted(wanted, "rep")
+    if known is None:
+        docs = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        for batch in batches:
-            who = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(known.value[id_slots(who, wide)])
-            if not len(keep):
-                continue
-            for some, texts in text_groups(who[keep].tolist(), batch.column(1).take(pa.array(keep))):
-                sets = [h.view(np.int64) for h in shingler.sets(texts)]
-                prints = np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets), dtype=np.int64).reshape(-1, 2)
-                ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["id", "set", "f1", "f2"])
-
-    return docs.where("doc_id is not null").mapInArrow(run, "id long, set array<long>, f1 long, f2 long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """a, b, size_a, size_b, overlap of each pair of ids, from the sets themselves."""
-    sets = _sets(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), n)
-    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", F.size("set_a").alias("size_a"), F.size("set_b").alias("size_b"), F.size(F.array_intersect("set_a", "set_b")).alias("overlap"))
-
-
-def _all_links(lists: DataFrame, known: DataFrame, reps: DataFrame, full: DataFrame, docs: DataFrame, ws: Workspace, n: int, num: int, den: int) -> DataFrame:
-    """Every linked pair of different sets, once: a, b (ids that stand for the sets, a <= b), a_f1, a_f2, b_f1, b_f2.
-
-    Lists are taken with themselves, also within components. A pair that was compared has its answer; else the overlaps
-    with the list's pivot may decide; else the sets are compared. An id that has several sets is always compared."""
-    held = full.groupBy(F.col("doc_id").alias("rep")).agg((F.min(F.struct("f1", "f2")) != F.max(F.struct("f1", "f2"))).alias("_several"))
-    named = ws.table(reps.groupBy("rep").agg(F.min("f1").alias("_f1"), F.min("f2").alias("_f2")).join(held, "rep"), "named")
-    members = lists.join(named.select(F.col("rep").alias("id")), "id", "left_semi").select("token", "id", "size", "pos", "pivot").distinct()
-    members = ws.table(members, "members")
-    x = members.select("token", "pivot", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "pos")])
-    y = members.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "pos")])
-    met = x.join(y, "token").where("x_id < y_id").where(may_link("x_size", "x_pos", "y_size", "y_pos", num, den))
-    met = met.groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b")).agg(F.min("pivot").alias("pivot"), F.min("x_size").alias("size_a"), F.min("y_size").alias("size_b"))
-    several = named.where("_several").select(F.col("rep").alias("_m"))
-    plain = lambda c: met_plain.join(several.select(F.col("_m").alias(c)), c, "left_anti")
-    met = met_plain = ws.table(met, "met")
-    for c in ("a", "b", "pivot"):
-        met_plain = plain(c)
-    answers = known.select("a", "b", F.col("overlap").alias("_o")).groupBy("a", "b").agg(F.max("_o").alias("_o"))
-    to_pivot = lambda c: known.groupBy(F.col("a").alias("pivot"), F.col("b").alias(c)).agg(F.max("size_a").alias("_p"), F.max("overlap").alias(f"o_{c}"))
-    asked = met_plain.join(answers, ["a", "b"], "left").join(to_pivot("a"), ["pivot", "a"], "left").join(to_pivot("b").drop("_p"), ["pivot", "b"], "left")
-    a, b = F.col("size_a"), F.col("size_b")
-    least = F.col("o_a") + F.col("o_b") - F.col("_p")
-    most = F.least("o_a", "o_b") + F.least(a - F.col("o_a"), b - F.col("o_b"))
-    asked = asked.select("a", "b", F.when(F.col("_o").isNotNull(), similar(F.col("_o"), a, b, num, den)).when(similar(least, a, b, num, den), True).when(~similar(most, a, b, num, den), False).alias("answer"))
-    asked = ws.table(asked, "asked")
-    prints = lambda c: named.select(F.col("rep").alias(c), F.col("_f1").alias(f"{c}_f1"), F.col("_f2").alias(f"{c}_f2"))
-    cols = ["a", "b", "a_f1", "a_f2", "b_f1", "b_f2"]
-    sure = asked.where("answer").join(prints("a"), "a").join(prints("b"), "b").select(*cols)
+        shingler, told = Shingler(n), set()
+        for _, texts in _texts(batches, known):
+            sets = shingler.sets(texts)
+            rows = [(k, h) for k, h in zip(nodes(sets).tolist(), sets, strict=True) if len(h) and k not in told]
+            if len(told) >= CACHE:
+                told.clear()
+            told.update(k for k, _ in rows)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([len(h) for _, h in rows], pa.int32()), pa.array([h.tobytes() for _, h in rows], pa.binary())], ["node", "size", "set"])
 
-    linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), num, den)
-    compared = ws.table(_verified(asked.where("answer is null").select("a", "b"), docs, n).where(linked).select("a", "b").distinct(), "compared")
-    sure = sure.unionByName(compared.join(prints("a"), "a").join(prints("b"), "b").select(*cols))
+    found = docs.where("doc_id is not null").mapInArrow(run, "node long, size int, set binary")
+    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
-    rest = met.select("a", "b").join(asked, ["a", "b"], "left_anti")
-    rest = ws.table(rest.unionByName(several.select(F.col("_m").alias("a"), F.col("_m").alias("b"))), "rest")
-    sets = _sets(docs, rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))), n)
-    sets = ws.table(sets.join(reps.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]), "sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"), F.col("f1").alias(f"{c}_f1"), F.col("f2").alias(f"{c}_f2"))
-    both = rest.join(side("a"), "a").join(side("b"), "b").where("a < b or a_f1 < b_f1 or (a_f1 = b_f1 and a_f2 < b_f2)")
-    overlap = F.size(F.array_intersect("set_a", "set_b"))
-    return sure.unionByName(both.where(similar(overlap, F.size("set_a"), F.size("set_b"), num, den)).select(*cols))
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, size_a, size_b, overlap of each pair of nodes, from the sets themselves."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("set").alias(f"set_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
-def _counted(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """f1, f2 and n_links of each set: all nodes of the sets that it links with, and the others of its own."""
-    weight = lambda c: weights.select(F.col("f1").alias(f"{c}_f1"), F.col("f2").alias(f"{c}_f2"), F.col("_w").alias(f"{c}_w"))
-    known = pairs.join(weight("a"), ["a_f1", "a_f2"]).join(weight("b"), ["b_f1", "b_f2"])
-    one = known.select(F.col("a_f1").alias("f1"), F.col("a_f2").alias("f2"), F.col("b_w").alias("_l"))
-    other = known.select(F.col("b_f1").alias("f1"), F.col("b_f2").alias("f2"), F.col("a_w").alias("_l"))
-    own = weights.select("f1", "f2", (F.col("_w") - 1).alias("_l"))
-    return one.unionByName(other).unionByName(own).groupBy("f1", "f2").agg(F.sum("_l").alias("n_links"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n = [len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(t.column("set_a").to_pylist(), t.column("set_b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[t.column(c) for c in ("a", "b", "size_a", "size_b")], pa.array(n, pa.int32())], ["a", "b", "size_a", "size_b", "overlap"])
+
+    return both.select("a", "b", "size_a", "size_b", "set_a", "set_b").mapInArrow(run, "a long, b long, size_a int, size_b int, overlap int")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of lists (token, piece, pieces) -> the same for every pair of pieces (i, j) with i <= j that theirs is in."""
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    return rows.withColumn("_o", other).withColumn("i", F.least("piece", "_o")).withColumn("j", F.greatest("piece", "_o")).drop("_o")
+
+
+def _open_pairs(group: pd.DataFrame, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a list (or of two of its pieces) that lie in different components and may link."""
+    size, comp, piece = group["size"].to_numpy(), group["comp"].to_numpy(), group["piece"].to_numpy()
+    left = size - group["pos"].to_numpy()
+    across = group["i"].iloc[0] != group["j"].iloc[0]
+    for x, y in blocks_may_link(size, left, num, den, BLOCK):
+        a, b = size[x][:, None], size[y][None, :]
+        good = (comp[x][:, None] != comp[y][None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+        good &= (den + num) * np.minimum(left[x][:, None], left[y][None, :]) >= num * (a + b)
+        if across:
+            good &= piece[x][:, None] != piece[y][None, :]
+        if x == y:
+            good = np.triu(good, 1)
+        i, j = np.nonzero(good)
+        if len(i):
+            yield i + x.start, j + y.start
+
+
+def _pivot_pairs(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs of a list's pivots (those of the least hashes among sets that are still open) with the sets open to them."""
+    group = group.sort_values(["size", "pos", "node"], ignore_index=True)
+    node, found = group["node"].to_numpy(), []
+    is_pivot = np.zeros(len(node), dtype=bool)
+    is_pivot[np.argsort(node)[: min(PIVOTS, max(1, len(node).bit_length() - 2))]] = True
+    for i, j in _open_pairs(group, num, den):
+        some = is_pivot[i] | is_pivot[j]
+        i, j = np.where(is_pivot[i], i, j)[some], np.where(is_pivot[i], j, i)[some]
+        found.append(np.stack([node[i], node[j]], 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _derived(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Answers of the open pairs of a list that follow from both sets' overlaps with its pivots: a, b, linked (null where
+    they don't decide). Pairs that can't link are left out."""
+    group = group.sort_values(["size", "pos", "node"], ignore_index=True)
+    node, size = group["node"].to_numpy(), group["size"].to_numpy().astype(np.int64)
+    names = [k for row in group["pivots"] if row is not None for k in row]
+    pivots, times = np.unique(np.array(names, dtype=np.int64), return_counts=True)
+    pivots = pivots[np.argsort(-times, kind="stable")[: 2 * PIVOTS]]
+    at = {int(k): c for c, k in enumerate(pivots)}
+    shared, width = np.full((len(node), len(pivots)), -1, dtype=np.int64), np.zeros(len(pivots), dtype=np.int64)
+    for r, (ks, os, ps) in enumerate(zip(group["pivots"], group["overlaps"], group["pivot_sizes"], strict=True)):
+        for k, o, p in zip(ks if ks is not None else (), os if os is not None else (), ps if ps is not None else (), strict=True):
+            if k in at:
+                shared[r, at[k]], width[at[k]] = o, p
+    for r in np.flatnonzero(np.isin(node, pivots)).tolist():
+        shared[r, at[int(node[r])]], width[at[int(node[r])]] = size[r], size[r]
+    out = []
+    for i, j in _open_pairs(group, num, den):
+        a, b = size[i], size[j]
+        enough = -(-num * (a + b) // (num + den))
+        yes, no = np.zeros(len(i), dtype=bool), np.zeros(len(i), dtype=bool)
+        for c in range(len(pivots)):
+            x, y = shared[i, c], shared[j, c]
+            told = (x >= 0) & (y >= 0)
+            yes |= told & (x + y - width[c] >= enough)
+            no |= told & (np.minimum(x, y) + np.minimum(a - x, b - y) < enough)
+        keep = ~no
+        lo, hi = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        out.append(np.stack([lo[keep], hi[keep], yes[keep]], 1))
+    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
+    return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "linked": pd.array(np.where(rows[:, 2] > 0, True, None), dtype="boolean")})
+
+
+def bit_rows(sets: list[np.ndarray], width: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The sets as rows of bits over the shingles that several of them hold, `width` shingles at a time."""
+    tokens, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    places = np.full(len(tokens), -1, dtype=np.int64)
+    often = np.flatnonzero(times > 1)
+    places[often] = np.arange(len(often))
+    owner, place = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), places[which]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for at in range(0, len(often), width):
+        lo, hi = np.searchsorted(place, [at, at + width])
+        wide = -(-(min(len(often), at + width) - at) // 64) * 64
+        dense = np.zeros((len(sets), wide), dtype=bool)
+        dense[owner[lo:hi], place[lo:hi] - at] = True
+        yield np.packbits(dense, axis=1).view(np.uint64)
+
+
+def linked_matrix(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of sets[rows] links with which of sets[cols], as a matrix of booleans.
+
+    All are compared with the first one. From both overlaps follow the least and the most that any two can share; only
+    the pairs that this leaves open are compared themselves."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    parts = list(bit_rows(sets))
+    shared = sum((np.bitwise_count(p & p[0]).sum(1, dtype=np.int64) for p in parts), np.zeros(len(sets), dtype=np.int64))
+    shared[0] = size[0]  # shingles of one set alone are no bits
+    a, b, x, y = size[rows][:, None], size[cols][None, :], shared[rows][:, None], shared[cols][None, :]
+    enough = -(-num * (a + b) // (num + den))
+    linked = x + y - size[0] >= enough
+    still = ~linked & (np.minimum(x, y) + np.minimum(a - x, b - y) >= enough)
+    for r in np.flatnonzero(still.any(1)).tolist():
+        at = np.flatnonzero(still[r])
+        n = sum((np.bitwise_count(p[cols[at]] & p[rows[r]]).sum(1, dtype=np.int64) for p in parts), np.zeros(len(at), dtype=np.int64))
+        linked[r, at] = n >= enough[r, at]
+    return linked
+
+
+def _component_links(members: DataFrame, num: int, den: int, pairs: bool) -> DataFrame:
+    """members: comp, node, weight, set -> node and n, partial sums of the weights of the sets that each links with; or
+    the linked pairs (a, b) themselves. Components are cut into blocks of about BLOCK sets; a pair of blocks is one group."""
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("pieces"))
+    dealt = members.join(sizes, "comp").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", ignore_index=True)
+        i, j, piece = group["i"].iloc[0], group["j"].iloc[0], group["piece"].to_numpy()
+        rows, cols = np.flatnonzero(piece == i), np.flatnonzero(piece == j)
+        node, weight = group["node"].to_numpy(), group["weight"].to_numpy()
+        linked = linked_matrix([np.frombuffer(x, np.int64) for x in group["set"]], rows, cols, num, den) if len(rows) and len(cols) else np.zeros((len(rows), len(cols)), dtype=bool)
+        if i == j:
+            np.fill_diagonal(linked, False)
+        if pairs:
+            x, y = np.nonzero(np.triu(linked) if i == j else linked)
+            x, y = node[rows[x]], node[cols[y]]
+            return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        parts = [(node[rows], linked @ weight[cols])] + ([] if i == j else [(node[cols], linked.T @ weight[rows])])
+        return pd.DataFrame({"node": np.concatenate([p for p, _ in parts]), "n": np.concatenate([n for _, n in parts])})
+
+    return _in_blocks(dealt).groupBy("comp", "i", "j").applyInPandas(run, "a long, b long" if pairs else "node long, n long")
 
 
 def linked_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 75, den: int = 100, bits: int = SKETCH_BITS) -> DataFrame:
-    """a, b: every linked pair of different sets, named by the representative_id of each in join_documents, which has the
-    membership. An id that stands for several sets may be paired with itself."""
+    """a, b: every linked pair of different sets, once, named by their nodes; join_documents has each row's node."""
     return _join(df, key, text, n, num, den, bits, "pairs")
 
 
 def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 75, den: int = 100, bits: int = SKETCH_BITS, links: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, representative_id, and with `links` n_links.
+    """One row per input row: doc_id, n_shingles, component_id, representative_id, node, component_node, and with `links`
+    n_links.
 
     Documents link when den * intersection >= num * union of their sets of word n-grams; component_id is the smallest
     id reachable by links. Every link between different sets is either verified, derived, or implied by links already
-    found, so components are exact (up to collisions of 64-bit shingle hashes); for components no group is expanded into
-    all pairs:
-
-    1. Equal sets collapse into the one of the smallest id (representative_id).
-    2. Each set lists the shingles of its prefix, rarest first by a sketch of all counts; in each list the set of the
-       smallest id is the pivot, and every other set that the positions let through is compared with it.
-    3. Lists that now lie within one component are done. In the others each set outside the pivot's component is taken
-       with all sets of other components. From both overlaps with the pivot follow bounds of their own overlap: where
-       those decide, they are the answer; only the rest is compared.
+    found, so components are exact (up to collisions of 64-bit hashes of shingles and of sets); no group is expanded into
+    rows for all its pairs:
+
+    1. Equal sets are one node (the set's hash); representative_id is the smallest id that holds the set. component_node
+       names a component by one of its nodes.
+    2. Each set lists the shingles of its prefix, rarest first by a sketch of all counts. Lists of few sets give every
+       pair that sizes and positions let through. In longer ones one set is the pivot, and all others are compared with
+       it.
+    3. Long lists that now lie within one component are done. The others are taken block by block: pairs of blocks whose
+       sizes and positions can't suffice are skipped whole. Some pivots more are compared with what is open to them;
+       from both sets' overlaps with the pivots follow bounds of their own overlap, and only pairs that no pivot decides
+       are compared.
+    4. For n_links each component is taken in pairs of blocks of sets, where likewise the overlaps with one set decide
+       most pairs; blocks give sums, not pairs.
 
     n_links is the number of other documents that a row's text links with, where a document is an id with one set: exact
-    copies under other ids count, repeated rows don't. It needs every linked pair of different sets (`linked_pairs`), which
-    grows with the square of a group of near copies. It is 0 for blank texts and null for null ids.
+    copies under other ids count, repeated rows don't. It is 0 for blank texts and null for null ids.
 
-    Rows that share an id are one node of the graph. Rows with a null id take no part: their component_id and
-    representative_id are null. Null and blank texts have 0 shingles and link with nothing (component_id is their own
-    id). Repeated rows are kept; other columns are not read; an empty table gives an empty result.
+    Rows that share an id but not their words are documents of their own, which need not link; both are called by that
+    id. Rows with a null id take no part: their component_id and representative_id are null. Null and blank texts have 0
+    shingles and link with nothing (component_id is their own id). Repeated rows are kept; other columns are not read;
+    an empty table gives an empty result.
     """
     return _join(df, key, text, n, num, den, bits, "links" if links else "components")
 
@@ -264,76 +458,125 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scanned = ws.table(_scan(docs, n, bits), "scan")
     counts = sum_slots(scanned.where("sums is not null").select("slice", "who", "sums"), 1 << bits)
-    seen = scanned.where("sums is null").select("doc_id", "n_shingles", "f1", "f2")
-    levels = np.minimum(255, np.floor(4 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
-    hot = int(np.floor(4 * np.log2(max(HOT, 4 * counts.mean()))))
-
+    seen = scanned.where("sums is null").select("doc_id", "n_shingles", "node")
     full = seen.where("n_shingles > 0 and doc_id is not null")
-    reps = ws.table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "reps")
-    entries = _entries(docs, id_bitmap(reps, "rep"), levels, hot, n, bits, num, den)
-    # A hot shingle's entries need no group of their own: each stands alone here, and meets its pivot by a join.
-    whole = Window.partitionBy("token", "_alone")
-    kept = entries.withColumn("_alone", F.when(F.col("hot"), F.col("id"))).withColumn("_n", F.count("*").over(whole)).withColumn("_p", F.min(F.struct("id", "size", "pos")).over(whole)).where("hot or _n > 1").drop("_n", "_alone")
-    kept = ws.table(kept, "kept")
-    often = kept.where("hot")
-    pivots = ws.table(often.groupBy("token").agg(F.min(F.struct("id", "size", "pos")).alias("_p"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "pivots")
-    flat = ["token", "id", "size", "pos", F.col("_p.id").alias("pivot"), F.col("_p.size").alias("p_size"), F.col("_p.pos").alias("p_pos")]
-    lists = ws.table(kept.where("not hot").select(*flat).unionByName(often.drop("_p").join(pivots, "token").select(*flat)), "lists")
-
-    stars = lists.where(F.col("id") != F.col("pivot")).where(may_link("size", "pos", "p_size", "p_pos", num, den))
-    stars = ws.table(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    known = ws.table(_verified(stars, docs, n), "known")
+    reps = ws.table(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("weight")), "reps")
+
+    entries = _entries(docs, reps, counts, n, bits, num, den).repartition("token", "piece").sortWithinPartitions("token", "piece", "size", "pos", "node")
+    met = ws.table(entries.mapInArrow(lambda batches: scan_lists(batches, num, den), "long boolean, token long, piece int, pieces int, a long, b long, size int, pos int"), "met")
+    pairs = ws.table(met.where("not long").select("a", "b").distinct(), "pairs")
+    lists = met.where("long").select("token", "piece", "pieces", F.col("a").alias("node"), "size", "pos")
+
+    named = lambda *frames: reps.select("node", "rep").join(_either(*frames), "node", "left_semi")
+    sets = ws.table(_sets(docs, named(pairs), n), "sets")
     linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), num, den)
-    drops = ("kept", "pivots", "lists", "stars", "known", "reps", "scan", "named", "members", "met", "asked", "compared", "rest", "sets")
+    known = ws.table(_verified(pairs, sets), "known")
+    links = known.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comps = ws.table(components(links, ws, "first"), "comps")
+
+    # Long lists in several components
+    placed = lists.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m")).where("_l <> _m").select("token")
+    mixed = ws.table(placed.join(mixed, "token", "left_semi"), "mixed")
+    if not mixed.isEmpty():
+        blocks = _in_blocks(mixed)
+        stars = blocks.groupBy("token", "i", "j").applyInPandas(lambda g: _pivot_pairs(g, num, den), "a long, b long")
+        stars = ws.table(stars.distinct(), "stars")
+        lacking = ws.table(_either(stars).join(sets.select("node"), "node", "left_anti"), "lacking")
+        if not lacking.isEmpty():
+            sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets2"))
+        told = ws.table(_verified(stars, sets), "told")
+        to_pivots = told.groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", "overlap", "size_a")).alias("_p"))
+        told_rows = mixed.join(to_pivots, "node", "left").select(*mixed.columns, F.col("_p.a").alias("pivots"), F.col("_p.overlap").alias("overlaps"), F.col("_p.size_a").alias("pivot_sizes"))
+        answers = _in_blocks(told_rows).groupBy("token", "i", "j").applyInPandas(lambda g: _derived(g, num, den), "a long, b long, linked boolean")
+        answers = ws.table(answers.groupBy("a", "b").agg(F.max("linked").alias("linked")), "answers")
+        asked = ws.table(answers.where("linked is null").select("a", "b"), "asked")
+        lacking = ws.table(_either(asked).join(sets.select("node"), "node", "left_anti"), "lacking2")
+        if not lacking.isEmpty():
+            sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets3"))
+        more = told.unionByName(_verified(asked, sets)).where(linked).select("a", "b").unionByName(answers.where("linked").select("a", "b"))
+        edges = more.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(comps.select(F.col("id").alias("u"), F.col("comp").alias("v")))
+        comps = ws.table(components(edges, ws, "last"), "final")
+
+    members = comps.select(F.col("id").alias("node"), "comp").join(reps, "node")
     if what != "components":
-        pairs = ws.table(_all_links(lists, known, reps, full, docs, ws, n, num, den), "pairs")
+        held = ws.table(members.select("node", "rep"), "held")
+        lacking = ws.table(held.join(sets.select("node"), "node", "left_anti"), "lacking3")
+        if not lacking.isEmpty():
+            sets = sets.unionByName(ws.table(_sets(docs, lacking, n), "sets4"))
+        some = members.select("node", "comp", "weight").join(sets.select("node", "set"), "node")
+        counted = ws.table(_component_links(some, num, den, what == "pairs"), "counted")
         if what == "pairs":
-            ws.drop(*drops)
-            return pairs.select("a", "b")
-        weights = full.select("doc_id", "f1", "f2").distinct().groupBy("f1", "f2").agg(F.count("*").alias("_w"))
-        counted = ws.table(_counted(pairs, weights), "counted")
-        ws.drop("named", "members", "met", "asked", "compared", "rest", "sets", "pairs")
-    first = ws.table(components(known.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), ws, "first"), "comps")
-
-    of = lambda c, name: first.select(F.col("id").alias(c), F.col("comp").alias(name))
-    placed = lists.join(of("id", "_c"), "id", "left").join(of("pivot", "_pc"), "pivot", "left")
-    placed = placed.select("token", "id", "size", "pos", "pivot", F.coalesce("_c", "id").alias("comp"), F.coalesce("_pc", "pivot").alias("p_comp"))
-    placed = ws.table(placed, "placed")
-    outside = ws.table(placed.where("comp <> p_comp"), "outside")
-    x = outside.select("token", "pivot", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "pos", "comp")])
-    y = placed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "pos", "comp")])
-    more = x.join(y, "token").where("x_comp <> y_comp").where(may_link("x_size", "x_pos", "y_size", "y_pos", num, den))
-    more = more.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), F.when(F.col("x_id") < F.col("y_id"), F.col("x_size")).otherwise(F.col("y_size")).alias("size_a"), F.when(F.col("x_id") < F.col("y_id"), F.col("y_size")).otherwise(F.col("x_size")).alias("size_b"), "pivot")
-    more = ws.table(more.groupBy("a", "b").agg(F.min("pivot").alias("pivot"), F.min("size_a").alias("size_a"), F.min("size_b").alias("size_b")), "more")
-
-    new = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    to_pivot = lambda c: known.select(F.col("a").alias("pivot"), F.col("b").alias(c), F.col("size_a").alias("_p"), F.col("overlap").alias(f"o_{c}"))
-    new = new.join(to_pivot("a"), ["pivot", "a"], "left").join(to_pivot("b").drop("_p"), ["pivot", "b"], "left")
-    least = F.col("o_a") + F.col("o_b") - F.col("_p")
-    most = F.least("o_a", "o_b") + F.least(F.col("size_a") - F.col("o_a"), F.col("size_b") - F.col("o_b"))
-    a, b = F.col("size_a"), F.col("size_b")
-    new = ws.table(new.select("a", "b", F.when(similar(least, a, b, num, den), True).when(~similar(most, a, b, num, den), False).alias("answer")), "new")
-    checked = _verified(new.where("answer is null"), docs, n).where(linked).select("a", "b")
-    found = ws.table(new.where("answer").select("a", "b").unionByName(checked), "found")
-    links = found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(first.select(F.col("id").alias("u"), F.col("comp").alias("v")))
-    final = ws.table(components(links, ws, "last"), "final")
-
+            ws.drop(*TEMPORARY)
+            return counted
+        counted = counted.groupBy("node").agg(F.sum("n").alias("_l"))
+    least = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of = members.join(least, "comp").select("node", "comp", "component_id")
+    of = reps.join(of, "node", "left").select("node", "rep", "weight", F.coalesce("comp", "node").alias("component_node"), F.coalesce("component_id", "rep").alias("comp_id"))
     extra = []
     if what == "links":
-        seen = seen.join(counted, ["f1", "f2"], "left")
-        extra = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")]
-    named = seen.join(reps, ["f1", "f2"], "left").select("doc_id", "n_shingles", *extra, F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).otherwise(F.col("doc_id")).alias("representative_id"))
-    named = named.join(final.select(F.col("id").alias("representative_id"), "comp"), "representative_id", "left")
-    out = ws.table(named.select("doc_id", "n_shingles", F.coalesce("comp", "representative_id").alias("component_id"), "representative_id", *(["n_links"] if extra else [])), "result")
-    ws.drop("counted", "kept", "pivots", "lists", "placed", "outside", "more", "new", "stars", "known", "found", "comps", "final", "reps", "scan")
+        of = of.join(counted, "node", "left").withColumn("_links", F.coalesce("_l", F.lit(0)) + F.col("weight") - 1)
+        extra = [F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_links")).otherwise(0)).alias("n_links")]
+    out = seen.join(ws.table(of, "of"), "node", "left")
+    own = lambda c: F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col(c))).otherwise(F.col("doc_id"))
+    out = ws.table(out.select("doc_id", "n_shingles", own("comp_id").alias("component_id"), own("rep").alias("representative_id"), "node", "component_node", *extra), "result")
+    ws.drop(*TEMPORARY, "counted")
     return out
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """The rows of `df`, with all their columns, that stand for their component: those of its smallest id, one row of
-    them if the id repeats (of the least text hash). Rows with a null id take no part in links and all stay."""
-    ids = join_documents(df, key, text, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = df.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("_kept"), "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return rows.unionByName(df.where(F.col(key).isNull()))
+TEMPORARY = ("scan", "reps", "met", "pairs", "sets", "sets2", "sets3", "sets4", "known", "comps", "mixed", "stars", "told", "answers", "asked", "lacking", "lacking2", "lacking3", "final", "held", "of")
+
+
+def _either(*frames: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    out = None
+    for f in frames:
+        for c in ("a", "b"):
+            part = f.select(F.col(c).alias("node"))
+            out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def named_by(reps: DataFrame, some: DataFrame) -> DataFrame:
+    return reps.select("node", "rep").join(some, "node", "left_semi")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, **how: int) -> DataFrame:
+    """The rows of `df`, with all their columns, that stand for their component: one row of its smallest id (where an id
+    has several texts, that of the least node in the component). A row goes only if its own text is equal or linked, by
+    however many links, to a kept one; so rows without words and rows with a null id, which take no part in links, stay."""
+    joined = join_documents(df, key, text, n=n, **how)
+    ws = Workspace(session(df), "kept")
+    ids = joined.where("doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"), F.max(F.expr("n_shingles = 0 or doc_id = component_id")).alias("_any"))
+    ids = ws.table(ids.where("_any").drop("_any"), "ids")
+    rows = df.where(F.col(key).isNotNull())
+    single = rows.join(ids.where("_rows = 1").select("_kept"), F.col(key) == F.col("_kept"), "left_semi")
+    several = ids.where("_rows > 1").select("_kept")
+    if not several.isEmpty():
+        single = single.unionByName(_one_each(rows.join(several, F.col(key) == F.col("_kept"), "left_semi"), joined, ws, key, text, n))
+    return single.unionByName(df.where(F.col(key).isNull()))
+
+
+def _one_each(rows: DataFrame, joined: DataFrame, ws: Workspace, key: str, text: str, n: int) -> DataFrame:
+    """Of rows whose ids repeat: those without words, and one row for each id and set that stands for its component."""
+    cols = rows.columns
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                sets = shingler.sets(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes(sets)), *part.columns[1:]], ["_size", "_node", *kept])
+
+    kept = [f"_k{i}" for i in range(len(cols))]
+    some = rows.select(F.col(text).cast("string").alias("_t"), *[F.col(c).alias(k) for c, k in zip(cols, kept, strict=True)])
+    fields = ", ".join(f"{k} {some.schema[k].dataType.simpleString()}" for k in kept)
+    named = ws.table(some.mapInArrow(name, "_size long, _node long, " + fields), "named")
+    back = [F.col(k).alias(c) for c, k in zip(cols, kept, strict=True)]
+    id_ = F.col(kept[cols.index(key)]).cast("long")
+    chosen = joined.where("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), "component_node").agg(F.min("node").alias("_node"))
+    worded = named.where("_size > 0").withColumn("_id", id_).join(chosen, ["_id", "_node"], "left_semi")
+    # the row of the least hash of all of its columns, by a partial aggregate, so that no id gathers in one task
+    one = worded.groupBy("_id", "_node").agg(F.min_by(F.struct(*kept), F.xxhash64(F.to_json(F.struct(*kept)))).alias("_r")).select("_r.*")
+    return one.select(*back).unionByName(named.where("_size = 0").select(*back))
