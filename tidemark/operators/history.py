@@ -110,10 +110,14 @@ def policy_asof(policy: DataFrame, at: int) -> DataFrame:
 
 
 def frontier(outcomes: DataFrame, base: int = 0) -> DataFrame:
-    """The end of the longest resolved prefix: seqs after `base` of which `resolved` holds, without a gap."""
-    rows = outcomes.where(F.col("seq") > base)
-    stats = rows.agg(F.min(F.when(~F.col("resolved"), F.col("seq"))).alias("open"), F.max("seq").alias("top"))
-    return stats.select(F.coalesce(F.col("open") - 1, F.col("top"), F.lit(base)).cast("bigint").alias("frontier"))
+    """The end of the longest resolved prefix: the last of base, base + 1, .. that is resolved without a gap before it.
+    A sequence that is missing is as open as one whose `resolved` doesn't hold; an equi-join finds the first without a
+    successor, so that no total order is needed in one task."""
+    spark = outcomes.sparkSession
+    done = outcomes.where((F.col("seq") > base) & F.col("resolved")).select("seq")
+    done = done.unionByName(spark.range(1).select(F.lit(base).cast("bigint").alias("seq")))
+    following = done.select((F.col("seq") - 1).alias("seq"))
+    return done.join(following, "seq", "left_anti").agg(F.min("seq").cast("bigint").alias("frontier"))
 
 
 def retention_floor(frontier_seq: int, checkpoint_seq: int, cursors: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
