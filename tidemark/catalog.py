@@ -369,9 +369,11 @@ def dependency_levels(spark, d):
     return R.levels(transactions(spark, d))
 
 
-@_query("SELECT coalesce(min(CASE WHEN value > 490 THEN event_id + 2 END) - 1, max(event_id + 2)) AS frontier FROM events")
+@_query("WITH done AS (SELECT event_id + 2 AS seq FROM events WHERE value <= 490 AND event_id % 4999 <> 77), n AS (SELECT seq, row_number() OVER (ORDER BY seq) + 1 AS should FROM done) SELECT CAST(1 + count(*) AS BIGINT) AS frontier FROM n WHERE seq = should")
 def visible_frontier(spark, d):
-    return H.frontier(_table(spark, d, "events").select((F.col("event_id") + 2).alias("seq"), (F.col("value") <= 490).alias("resolved")))
+    """Some outcomes are open and some are missing altogether; both end the prefix."""
+    rows = _table(spark, d, "events").where("event_id % 4999 <> 77")
+    return H.frontier(rows.select((F.col("event_id") + 2).alias("seq"), (F.col("value") <= 490).alias("resolved")), base=1)
 
 
 # ---- replay ----
@@ -392,6 +394,30 @@ def replay_fold(spark, d):
     return R.replay(transactions(spark, d), "fold").drop("table_id")
 
 
+_BANKS, _ACCOUNTS, _OPENING = 16, 8, 60_000
+
+
+@_query(
+    f"""WITH RECURSIVE e AS (SELECT event_id + 2 AS seq, user_id % {_BANKS} AS r, event_id % {_ACCOUNTS} AS a, (event_id // {_ACCOUNTS}) % {_ACCOUNTS} AS b, CAST(round(abs(value) * 100) AS BIGINT) AS n, row_number() OVER (PARTITION BY user_id % {_BANKS} ORDER BY event_id) AS i FROM events),
+s(r, i, seq, ok, a, bal) AS (SELECT x, CAST(0 AS BIGINT), CAST(0 AS BIGINT), true, CAST(0 AS BIGINT), list_transform(range({_ACCOUNTS}), lambda y: CAST({_OPENING} AS BIGINT)) FROM range({_BANKS}) t(x)
+ UNION ALL SELECT e.r, e.i, e.seq, s.bal[e.a + 1] >= e.n, e.a, CASE WHEN s.bal[e.a + 1] >= e.n THEN list_transform(s.bal, lambda y, k: y - CASE WHEN k = e.a + 1 THEN e.n ELSE 0 END + CASE WHEN k = e.b + 1 THEN e.n ELSE 0 END) ELSE s.bal END FROM s JOIN e ON e.r = s.r AND e.i = s.i + 1)
+SELECT seq, CASE WHEN ok THEN 'success' ELSE 'aborted' END AS status, CASE WHEN ok THEN 0 ELSE 3 END AS reason, CASE WHEN ok THEN 0 ELSE 2 END AS user_code, CASE WHEN ok THEN bal[a + 1] END AS balance FROM s WHERE i > 0"""
+)
+def replay_transfers(spark, d):
+    """Transfers between two accounts of a bank, refused where the balance doesn't suffice: programs of two addresses."""
+    from tidemark.functions.types import I64, key_bytes
+    from tidemark.plans.program import Program, arg, let, load, op, require, ret, update, var
+    from tidemark.plans.waves import STATE, replay_programs
+
+    move = Program({"accounts": (I64, I64)}, {"a": I64, "b": I64, "n": I64}, [let("x", load("accounts", arg("a"))), require(op(">=", var("x"), arg("n")), 2), update("accounts", arg("a"), "-", arg("n")), update("accounts", arg("b"), "+", arg("n")), ret(load("accounts", arg("a")))], I64)
+    opening = [(1, key_bytes(k, I64).hex().upper(), 1, False, str(k), str(_OPENING)) for k in range(_BANKS * _ACCOUNTS)]
+    e, bank = _table(spark, d, "events"), F.col("user_id") % _BANKS * _ACCOUNTS
+    args = F.struct((bank + F.col("event_id") % _ACCOUNTS).alias("a"), (bank + F.floor(F.col("event_id") / _ACCOUNTS) % _ACCOUNTS).alias("b"), F.abs(_cents("value")).alias("n"))
+    log = e.select((F.col("event_id") + 2).alias("seq"), F.lit("move").alias("program"), F.to_json(args).alias("args"))
+    out = replay_programs(log, {"move": move}, {"accounts": 1}, spark.createDataFrame(opening, STATE))
+    return out.select("seq", "status", "reason", F.col("user_code").cast("int").alias("user_code"), F.col("result").cast("bigint").alias("balance"))
+
+
 @_query(f"WITH {_REPLAY} SELECT key, arg_max(value, seq) AS value, max(seq) AS seq FROM outcomes WHERE effect IS NOT NULL GROUP BY key HAVING arg_max(effect, seq) = 'put'")
 def replay_state(spark, d):
     return R.state_after(R.replay(transactions(spark, d))).select("key", "value", "seq")
@@ -470,33 +496,48 @@ def snapshot_after_gc(spark, d):
     return _flat(H.snapshot(H.gc_retained(versions(spark, d), 6000), 7000, 1), "key").select("key", "cents")
 
 
-@_query("SELECT * FROM (VALUES ('effects without version', 0), ('versions without effect', 0), ('outside lifetime', 0), ('missing outcomes', 0), ('repeated outcomes', 0), ('chain breaks', 0)) t(violation, n)")
+_CHAIN = "own AS (SELECT event_id + 2 AS seq, sha256(concat_ws('|', event_id + 2, event_type, CAST(round(value * 100) AS BIGINT))) AS written, sha256(concat_ws('|', event_id + 2, event_type, CAST(round(value * 100) AS BIGINT) + CASE WHEN event_id % 997 = 13 THEN 1 ELSE 0 END)) AS stored FROM events), breaks AS (SELECT seq FROM (SELECT seq, lag(stored) OVER w AS stored, lag(written) OVER w AS written FROM own WINDOW w AS (ORDER BY seq)) WHERE stored <> written)"
+
+
+@_query(
+    f"""WITH {_REPLAY}, {_CHAIN}, ends AS (SELECT max(seq) - max(seq) // 10 AS dropped FROM outcomes), kept AS (SELECT seq FROM outcomes WHERE seq % 811 <> 9)
+SELECT 'effects without version' AS violation, count(*) AS n FROM outcomes WHERE effect IS NOT NULL AND (seq % 501 = 7 OR (seq % 777 = 5 AND effect = 'put'))
+UNION ALL SELECT 'versions without effect', count(*) FROM outcomes WHERE effect = 'put' AND seq % 501 <> 7 AND seq % 777 = 5
+UNION ALL SELECT 'outside lifetime', count(*) FROM outcomes, ends WHERE effect IS NOT NULL AND seq % 501 <> 7 AND seq >= dropped
+UNION ALL SELECT 'missing outcomes', max(seq) - min(seq) + 1 - count(*) FROM kept
+UNION ALL SELECT 'repeated outcomes', count(*) FROM kept WHERE seq % 1003 = 4
+UNION ALL SELECT 'chain breaks', count(*) FROM breaks"""
+)
 def history_violations(spark, d):
-    log = versions(spark, d)
-    effects = log.select("table_id", "key", "seq", "is_delete", "value")
-    lifetimes = spark.createDataFrame([(1, None)], "table_id bigint, dropped_seq bigint")
-    seqs = log.select("seq").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n"), F.count_distinct("seq").alias("u"))
-    chain = _digests(spark, d)
-    checks = {"effects without version": H.effects_without_version(effects, log), "versions without effect": H.effects_without_version(log, effects), "outside lifetime": H.outside_lifetime(log, lifetimes), "chain breaks": H.chain_breaks(chain)}
-    out = seqs.select(F.explode(F.array(F.struct(F.lit("missing outcomes").alias("violation"), (F.col("hi") - F.col("lo") + 1 - F.col("u")).cast("int").alias("n")), F.struct(F.lit("repeated outcomes").alias("violation"), (F.col("n") - F.col("u")).cast("int").alias("n")))).alias("c")).select("c.*")
+    """Planted faults are found, and as many: versions that are lost or altered, versions after their table's drop,
+    outcomes that are missing or repeated, and records altered after the next one was chained to them."""
+    outcomes = R.replay(transactions(spark, d))
+    effects = outcomes.where("effect is not null").select("table_id", "key", "seq", (F.col("effect") == "delete").alias("is_delete"), "value")
+    stored = effects.where("seq % 501 <> 7").withColumn("value", F.when((F.col("seq") % 777 == 5), F.col("value") + 1).otherwise(F.col("value")))
+    lifetimes = _table(spark, d, "events").agg((F.max("event_id") + 2).alias("_m")).select(F.lit(1).cast("bigint").alias("table_id"), (F.col("_m") - F.floor(F.col("_m") / 10)).alias("dropped_seq"))
+    told = outcomes.where("seq % 811 <> 9").select("seq")
+    told = told.unionByName(told.where("seq % 1003 = 4"))
+    seqs = told.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n"), F.count_distinct("seq").alias("u"))
+    checks = {"effects without version": H.effects_without_version(effects, stored), "versions without effect": H.effects_without_version(stored, effects), "outside lifetime": H.outside_lifetime(stored, lifetimes), "chain breaks": H.chain_breaks(_chain(spark, d))}
+    out = seqs.select(F.explode(F.array(F.struct(F.lit("missing outcomes").alias("violation"), (F.col("hi") - F.col("lo") + 1 - F.col("u")).alias("n")), F.struct(F.lit("repeated outcomes").alias("violation"), (F.col("n") - F.col("u")).alias("n")))).alias("c")).select("c.*")
     for name, bad in checks.items():
-        out = out.unionByName(bad.agg(F.count("*").cast("int").alias("n")).select(F.lit(name).alias("violation"), "n"))
+        out = out.unionByName(bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("violation"), "n"))
     return out
 
 
-def _digests(spark, d) -> DataFrame:
-    """events as records whose digest covers their own fields; predecessor_digest is that of the record before."""
-    digest = lambda i: F.sha2(F.concat_ws("|", i.cast("string"), F.lit("record")), 256)
-    e = _table(spark, d, "events").select((F.col("event_id") + 2).alias("seq"))
-    return e.select("seq", digest(F.col("seq")).alias("digest"), F.when(F.col("seq") > 2, digest(F.col("seq") - 1)).alias("predecessor_digest"))
+def _chain(spark, d) -> DataFrame:
+    """events as chained records, of which every 997th was altered, and its digest with it, after the next one had been
+    chained to what it was."""
+    digest = lambda cents: F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "event_type", cents.cast("string")), 256)
+    e = _table(spark, d, "events").select((F.col("event_id") + 2).alias("seq"), "event_type", _cents("value").alias("cents"), (F.col("event_id") % 997 == 13).alias("altered"))
+    written = e.select((F.col("seq") + 1).alias("seq"), digest(F.col("cents")).alias("predecessor_digest"))
+    return e.select("seq", digest(F.col("cents") + F.col("altered").cast("int")).alias("digest")).join(written, "seq", "left")
 
 
-@_query("SELECT event_id + 2 AS seq FROM events WHERE event_id % 997 = 13 AND event_id > 0")
+@_query(f"WITH {_CHAIN} SELECT seq FROM breaks")
 def hash_chain_breaks(spark, d):
-    """Every 997th record is given a wrong predecessor, and is found."""
-    chain = _digests(spark, d)
-    wrong = (F.col("seq") - 2) % 997 == 13
-    return H.chain_breaks(chain.withColumn("predecessor_digest", F.when(wrong, F.lit("forged")).otherwise(F.col("predecessor_digest")))).select("seq")
+    """Whatever follows an altered record no longer fits it."""
+    return H.chain_breaks(_chain(spark, d)).select("seq")
 
 
 @_query("SELECT event_id + 2 AS seq, count(*) AS n FROM events GROUP BY 1")
