@@ -149,8 +149,8 @@ def _texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple[list, lis
 
 
 def _entries(docs: DataFrame, reps: DataFrame, counts: np.ndarray, n: int, bits: int, num: int, den: int) -> DataFrame:
-    """The prefix of every set: token, piece, pieces, node, size, pos. Rare shingles (by the sketch) come first in the
-    order. A list that may be long has as many pieces as it needs; a set's hash decides its piece. Copies that the bitmap
+    """The prefix of every set: token, piece, pieces, node, size, pos, prev. Rare shingles (by the sketch) come first in
+    the order; prev is 32 bits of the shingle before (of the node, where none is). A list that may be long has as many pieces as it needs; a set's hash decides its piece. Copies that the bitmap
     lets through give their set's entries again (once in a task while it remembers)."""
     levels = np.floor(64 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint16)  # counts end at 2^32
     spread = docs.sparkSession.sparkContext.broadcast(levels)  # of the sketch's size
@@ -159,7 +159,7 @@ def _entries(docs: DataFrame, reps: DataFrame, counts: np.ndarray, n: int, bits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, shingler, told = spread.value, Shingler(n), set()
         for _, some in _texts(batches, known):
-            tokens, owners, sizes, places = [], [], [], []
+            tokens, owners, sizes, places, before = [], [], [], [], []
             sets = shingler.sets(some)
             for node, h in zip(nodes(sets).tolist(), sets, strict=True):
                 if not len(h) or node in told:
@@ -173,23 +173,28 @@ def _entries(docs: DataFrame, reps: DataFrame, counts: np.ndarray, n: int, bits:
                 owners.append(np.full(take, node))
                 sizes.append(np.full(take, len(h)))
                 places.append(np.arange(take))
+                before.append(np.concatenate([[np.uint64(node & (1 << 64) - 1)], h[order][:-1]]).astype(np.uint32))
             if tokens:
                 t, who = np.concatenate(tokens), np.concatenate(owners)
                 most = np.exp2((levels[(t >> np.uint64(64 - bits)).astype(np.int64)] + 1) / 64)
                 pieces = np.ceil(most / PIECE).astype(np.int64)
                 piece = (who.view(np.uint64) >> np.uint64(16)).astype(np.int64) % pieces
-                cols = (t.view(np.int64), piece.astype(np.int32), pieces.astype(np.int32), who, np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["token", "piece", "pieces", "node", "size", "pos"])
+                cols = (t.view(np.int64), piece.astype(np.int32), pieces.astype(np.int32), who, np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32), np.concatenate(before).view(np.int32))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["token", "piece", "pieces", "node", "size", "pos", "prev"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "token long, piece int, pieces int, node long, size int, pos int")
+    return docs.where("doc_id is not null").mapInArrow(run, "token long, piece int, pieces int, node long, size int, pos int, prev int")
 
 
-MET = ["long", "token", "piece", "pieces", "a", "b", "size", "pos"]
+MET = ["long", "token", "piece", "pieces", "a", "b", "size", "pos", "prev"]
 
 
 def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Entries sorted by token, piece, size, pos and node -> pairs (a, b) to compare, and the entries of long lists.
 
+    Two sets whose shingles before this one are the same meet in that shingle's list already, so here they needn't: only
+    the list of two sets' first common shingle counts, and there what comes before differs. So of the lists of a passage
+    that many texts share, all but the first ones fall away whole.
+
     Lists of one set vanish, those of up to FEW give every pair that sizes and places let through. Of longer ones, and of
     lists in several pieces, the set of the least hash is the pivot, which is paired with all others let through; their
     entries are handed on for what is then left open.
@@ -197,9 +202,9 @@ def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int
     held, size = [], 0
 
     def emit(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        token, piece, pieces, node, sizes, pos = cols
+        token, piece, pieces, node, sizes, pos, prev = cols
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1]) | (node[1:] != node[:-1])])
-        token, piece, pieces, node, sizes, pos = (c[new] for c in cols)
+        token, piece, pieces, node, sizes, pos, prev = (c[new] for c in cols)
         begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1])]))
         lengths = np.diff(np.append(begins, len(token)))
         split = pieces[begins] > 1
@@ -207,14 +212,15 @@ def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int
 
         def pair(x: np.ndarray, y: np.ndarray) -> None:
             x, y = x.ravel(), y.ravel()
-            good = may_link(sizes[x], pos[x], sizes[y], pos[y], num, den)
+            good = (prev[x] != prev[y]) & may_link(sizes[x], pos[x], sizes[y], pos[y], num, den)
             found.append(np.stack([node[x[good]], node[y[good]]], 1))
 
         for n in range(2, FEW + 1):
             rows = begins[(lengths == n) & ~split]
             i, j = np.triu_indices(n, 1)
             pair(rows[:, None] + i[None, :], rows[:, None] + j[None, :])
-        some = np.flatnonzero((lengths > FEW) | split)
+        varied = np.maximum.reduceat(prev, begins) != np.minimum.reduceat(prev, begins)
+        some = np.flatnonzero(((lengths > FEW) & varied) | split)
         keep = [np.arange(begins[k], begins[k] + lengths[k]) for k in some.tolist()]
         for rows in keep:
             pivot = rows[node[rows].argmin()]
@@ -223,14 +229,14 @@ def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int
         pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
         if len(pairs):
             none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), *none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int32())] * 2], MET)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), *none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int32())] * 3], MET)
         if keep:
             at = np.concatenate(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), pa.array(token[at]), pa.array(piece[at]), pa.array(pieces[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(sizes[at]), pa.array(pos[at])], MET)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), pa.array(token[at]), pa.array(piece[at]), pa.array(pieces[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(sizes[at]), pa.array(pos[at]), pa.array(prev[at])], MET)
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, size
-        cols = [np.concatenate([h[k] for h in held]) for k in range(6)] if held else []
+        cols = [np.concatenate([h[k] for h in held]) for k in range(7)] if held else []
         held, size = [], 0
         if not cols or not len(cols[0]):
             return
@@ -242,7 +248,7 @@ def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int
             yield from emit([c[:stop] for c in cols], last)
 
     for batch in batches:
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)])
         size += len(batch)
         if size >= most:
             yield from flush(False)
@@ -291,12 +297,12 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 def _open_pairs(group: pd.DataFrame, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of a list (or of two of its pieces) that lie in different components and may link."""
-    size, comp, piece = group["size"].to_numpy(), group["comp"].to_numpy(), group["piece"].to_numpy()
+    size, comp, piece, prev = (group[c].to_numpy() for c in ("size", "comp", "piece", "prev"))
     left = size - group["pos"].to_numpy()
     across = group["i"].iloc[0] != group["j"].iloc[0]
     for x, y in blocks_may_link(size, left, num, den, BLOCK):
         a, b = size[x][:, None], size[y][None, :]
-        good = (comp[x][:, None] != comp[y][None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+        good = (comp[x][:, None] != comp[y][None, :]) & (prev[x][:, None] != prev[y][None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
         good &= (den + num) * np.minimum(left[x][:, None], left[y][None, :]) >= num * (a + b)
         if across:
             good &= piece[x][:, None] != piece[y][None, :]
@@ -392,10 +398,10 @@ def linked_matrix(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, nu
 
 
 def _component_links(members: DataFrame, num: int, den: int, pairs: bool) -> DataFrame:
-    """members: comp, node, weight, set -> node and n, partial sums of the weights of the sets that each links with; or
-    the linked pairs (a, b) themselves. Components are cut into blocks of about BLOCK sets; a pair of blocks is one group."""
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("pieces"))
-    dealt = members.join(sizes, "comp").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    """members: comp, members, node, weight, set -> node and n, partial sums of the weights of the sets that each links
+    with; or the linked pairs (a, b) themselves. Components are cut into blocks of about BLOCK sets; a pair of blocks is
+    one group."""
+    dealt = members.withColumn("pieces", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
@@ -426,7 +432,8 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
     Documents link when den * intersection >= num * union of their sets of word n-grams; component_id is the smallest
     id reachable by links. Every link between different sets is either verified, derived, or implied by links already
-    found, so components are exact (up to collisions of 64-bit hashes of shingles and of sets); no group is expanded into
+    found, so components are exact (up to collisions of 64-bit hashes of shingles and of sets, and of 32 bits of the
+    shingles before a pair's first common one); no group is expanded into
     rows for all its pairs:
 
     1. Equal sets are one node (the set's hash); representative_id is the smallest id that holds the set. component_node
@@ -463,9 +470,9 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     reps = ws.table(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("weight")), "reps")
 
     entries = _entries(docs, reps, counts, n, bits, num, den).repartition("token", "piece").sortWithinPartitions("token", "piece", "size", "pos", "node")
-    met = ws.table(entries.mapInArrow(lambda batches: scan_lists(batches, num, den), "long boolean, token long, piece int, pieces int, a long, b long, size int, pos int"), "met")
+    met = ws.table(entries.mapInArrow(lambda batches: scan_lists(batches, num, den), "long boolean, token long, piece int, pieces int, a long, b long, size int, pos int, prev int"), "met")
     pairs = ws.table(met.where("not long").select("a", "b").distinct(), "pairs")
-    lists = met.where("long").select("token", "piece", "pieces", F.col("a").alias("node"), "size", "pos")
+    lists = met.where("long").select("token", "piece", "pieces", F.col("a").alias("node"), "size", "pos", "prev")
 
     named = lambda *frames: reps.select("node", "rep").join(_either(*frames), "node", "left_semi")
     sets = ws.table(_sets(docs, named(pairs), n), "sets")
@@ -500,12 +507,20 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
 
     members = comps.select(F.col("id").alias("node"), "comp").join(reps, "node")
     if what != "components":
-        held = ws.table(members.select("node", "rep"), "held")
-        lacking = ws.table(held.join(sets.select("node"), "node", "left_anti"), "lacking3")
+        # of two sets in a component the link is known; larger ones are taken in blocks
+        held = members.join(members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("weight").alias("total")), "comp")
+        held = ws.table(held, "held")
+        two, held = held.where("members = 2"), held.where("members > 2")
+        lacking = ws.table(held.select("node", "rep").join(sets.select("node"), "node", "left_anti"), "lacking3")
         if not lacking.isEmpty():
             sets = sets.unionByName(ws.table(_sets(docs, lacking, n), "sets4"))
-        some = members.select("node", "comp", "weight").join(sets.select("node", "set"), "node")
-        counted = ws.table(_component_links(some, num, den, what == "pairs"), "counted")
+        some = held.select("node", "comp", "members", "weight").join(sets.select("node", "set"), "node")
+        counted = _component_links(some, num, den, what == "pairs")
+        if what == "pairs":
+            counted = counted.unionByName(two.groupBy("comp").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b"))
+        else:
+            counted = counted.unionByName(two.select("node", (F.col("total") - F.col("weight")).alias("n")))
+        counted = ws.table(counted, "counted")
         if what == "pairs":
             ws.drop(*TEMPORARY)
             return counted
