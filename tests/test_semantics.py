@@ -220,6 +220,13 @@ def test_feed_positions(spark, tmp_path):
     for n in range(1, 21):
         want[n % 3] = n * 10 if n % 4 else None
     assert {r["key"]: r["value"] for r in view.rows().collect()} == {k: v for k, v in want.items() if v is not None}
+    more = spark.createDataFrame([(21, 2, 1, "put", 5, 0), (22, 2, 1, None, None, 4)], "seq bigint, table_id bigint, key bigint, effect string, value bigint, abort int")
+    drops = spark.createDataFrame([(1, 21)], "table_id bigint, seq bigint")
+    assert view.apply(more, drops) == 22 and view.drops() == {1: 21}
+    assert [(r["table_id"], r["key"], r["value"]) for r in view.rows().collect()] == [(2, 1, 5)]
+    assert sorted((r["seq"], r["abort"]) for r in view.records().collect()) == [(n, 4 if n == 22 else 0) for n in range(1, 23)]
+    with pytest.raises(ValueError):
+        feed.DerivedView(spark, str(tmp_path / "view"), "another").apply(more)
     from pyspark.sql import functions as F
 
     assert feed.page_end(rows, 0, F.lit(100), 50, 450) == 4
@@ -232,6 +239,46 @@ def test_streamed_feed_arrives_in_batches(spark):
     assert sorted(tuple(r) for r in feed.drain(spark, rows, 32).collect()) == [(n, 2 * n) for n in range(1, 101)]
 
 
+def test_a_feed_without_end_follows_what_arrives(spark, tmp_path):
+    """Without a frontier the stream goes as far as sequences have come without a gap, and on when more arrive."""
+    path, out = f"file://{tmp_path}/log", f"file://{tmp_path}/out"
+    put = lambda *seqs: spark.createDataFrame([(n, n * 2) for n in seqs], "seq bigint, value bigint").coalesce(1).write.mode("append").parquet(path)
+    put(1, 2, 3, 6)
+    query = feed.stream_feed(spark, path, "seq bigint, value bigint", max_records=2).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/mark").start()
+    seen = lambda: sorted(r["seq"] for r in spark.read.schema("seq bigint, value bigint").parquet(out).collect())
+    query.processAllAvailable()
+    assert seen() == [1, 2, 3]
+    put(4, 5)
+    query.processAllAvailable()
+    query.stop()
+    assert seen() == [1, 2, 3, 4, 5, 6]
+
+
+def test_the_frontier_ends_at_a_gap(spark):
+    for seqs, open_, base, want in (([1, 2, 4], [], 0, 2), ([2, 3], [], 0, 0), ([2, 3, 4], [4], 1, 3), ([], [], 5, 5), ([6, 6, 7], [], 5, 7)):
+        df = spark.createDataFrame([(n, n not in open_) for n in seqs], "seq bigint, resolved boolean")
+        assert H.frontier(df, base).first()[0] == want
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from tidemark.sources import shared
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+            @staticmethod
+            def getConf():  # noqa: N802
+                return {}
+
+        conf = {}
+
+    with pytest.raises(ValueError):
+        shared.shared_root(Elsewhere)
+    Elsewhere.conf = {"spark.checkpoint.dir": "hdfs:///x/"}
+    assert shared.shared_root(Elsewhere) == "hdfs:///x"
+
+
 def test_history_checks_find_what_is_wrong(spark):
     log = spark.createDataFrame([(1, 5, 3, False, 1), (1, 5, 9, False, 2), (2, 5, 4, True, None)], "table_id bigint, key bigint, seq bigint, is_delete boolean, value bigint")
     lives = spark.createDataFrame([(1, 8)], "table_id bigint, dropped_seq bigint")

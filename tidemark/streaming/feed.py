@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from tidemark.sources.shared import remove, shared_dir
+from tidemark.sources.shared import Files, remove, shared_dir
 
 #: Records and bytes of a page unless said otherwise.
 PAGE_RECORDS, PAGE_BYTES = 1024, 256 << 20
@@ -60,14 +59,15 @@ class _Range(InputPartition):
 
 
 class FeedReader(DataSourceStreamReader):
-    """Reads (after, end] of an outcome table; offsets are {'seq': n} and batches hold at most maxRecords records.
+    """Reads (after, end] of an outcome table; offsets are {'seq': n} and batches hold at most maxRecords records. The end
+    is `frontier`, or, where that isn't given, wherever the table's sequences have come without a gap.
 
     A consumer that restarts trusts its own view's position: it starts a new query from there by startingSequence.
     """
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.start, self.top = int(options.get("startingsequence", "0")), int(options["frontier"])
+        self.start, self.top = int(options.get("startingsequence", "0")), int(options["frontier"]) if "frontier" in options else None
         self.most, self.parts = int(options.get("maxrecords", PAGE_RECORDS)), int(options.get("partitions", "8"))
         self.at = self.start
 
@@ -75,9 +75,25 @@ class FeedReader(DataSourceStreamReader):
         return {"seq": self.start}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        self.at = min(self.top, self.at + self.most)
+        self.at = min(self.at + self.most, self.arrived() if self.top is None else self.top)
         return {"seq": self.at}
 
+    def arrived(self) -> int:
+        """The end of what has come without a gap so far; looks at the next maxRecords sequences only."""
+        import numpy as np
+
+        seqs = np.unique(self.table(self.at, self.at + self.most, ["seq"]).column("seq").to_numpy())
+        gaps = np.flatnonzero(seqs != self.at + 1 + np.arange(len(seqs)))
+        return self.at + (int(gaps[0]) if len(gaps) else len(seqs))
+
+    def table(self, after: int, end: int, columns: list[str] | None = None):
+        """The rows of (after, end]; files are looked for anew, so those that came meanwhile are seen."""
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.path)
+        return ds.dataset(path, format="parquet", filesystem=store).to_table(columns=columns, filter=(ds.field("seq") > after) & (ds.field("seq") <= end))
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.at = max(self.at, end["seq"])
         a, z = start["seq"], end["seq"]
@@ -85,12 +101,7 @@ class FeedReader(DataSourceStreamReader):
         return [_Range(self.path, k, min(k + width, z)) for k in range(a, z, width)]
 
     def read(self, partition: _Range):
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(self.path)
-        rows = ds.dataset(path, format="parquet", filesystem=store).to_table(filter=(ds.field("seq") > partition.after) & (ds.field("seq") <= partition.end))
-        yield from rows.sort_by("seq").to_batches()
+        yield from self.table(partition.after, partition.end).sort_by("seq").to_batches()
 
     def commit(self, end: dict) -> None:
         pass
@@ -132,6 +143,9 @@ def mirror(before: DataFrame | None, effects: DataFrame, drops: DataFrame | None
 
 def mirror_in_batches(outcomes: DataFrame, n: int) -> DataFrame:
     """The view after applying the outcomes in n consecutive batches; equal to one batch."""
+    spark, path = outcomes.sparkSession, shared_dir(outcomes.sparkSession, "mirror")
+    outcomes.write.parquet(path)  # what they come from runs once, not once a batch
+    outcomes = spark.read.schema(outcomes.schema).parquet(path)
     top = outcomes.agg(F.max("seq")).first()[0] or 0
     view, width = None, -(-top // n) if top else 1
     for k in range(n):
@@ -142,19 +156,21 @@ def mirror_in_batches(outcomes: DataFrame, n: int) -> DataFrame:
 class DerivedView:
     """A view whose rows and position are published by one rename, so a batch that comes again changes nothing.
 
-    Acknowledge a cursor only after `apply` returned; on restart trust the view's own position.
+    It lies on any file system that Spark reaches. Besides the rows it keeps a record of every sequence that it took in
+    (seq and abort, aborts too) and the tables that were dropped. Acknowledge a cursor only after `apply` returned; on
+    restart trust the view's own position.
     """
 
     def __init__(self, spark: SparkSession, root: str, database_id: str = "tidemark"):
-        self.spark, self.root, self.database_id = spark, root, database_id
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.files, self.database_id = spark, Files(spark, root), database_id
 
     def _current(self) -> dict:
-        try:
-            with open(f"{self.root}/CURRENT") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"database_id": self.database_id, "seq": 0, "rows": None}
+        if not self.files.exists("CURRENT"):
+            return {"database_id": self.database_id, "seq": 0, "rows": None, "records": [], "drops": {}}
+        now = json.loads(self.files.read("CURRENT"))
+        if now["database_id"] != self.database_id:
+            raise ValueError(f"a view of {now['database_id']}")
+        return now
 
     @property
     def position(self) -> int:
@@ -162,7 +178,15 @@ class DerivedView:
 
     def rows(self) -> DataFrame | None:
         at = self._current()["rows"]
-        return self.spark.read.parquet(at) if at else None
+        return self.spark.read.parquet(f"{self.files.root}/{at}") if at else None
+
+    def records(self) -> DataFrame:
+        """seq and abort of everything that the view took in."""
+        at = self._current()["records"]
+        return self.spark.read.parquet(*[f"{self.files.root}/{p}" for p in at]) if at else self.spark.createDataFrame([], "seq bigint, abort int")
+
+    def drops(self) -> dict[int, int]:
+        return {int(t): s for t, s in self._current()["drops"].items()}
 
     def apply(self, batch: DataFrame, drops: DataFrame | None = None) -> int:
         """Applies what of the batch lies after the position; returns the new position."""
@@ -171,20 +195,20 @@ class DerivedView:
         first, last = check_consecutive(fresh, now["seq"])
         if last < first:
             return now["seq"]
-        path = f"{self.root}/rows-{last}"
-        mirror(self.rows(), fresh, drops).write.mode("overwrite").parquet(path)
-        temp = f"{self.root}/CURRENT.new"
-        with open(temp, "w") as f:
-            json.dump({"database_id": self.database_id, "seq": last, "rows": path}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temp, f"{self.root}/CURRENT")
+        rows, records = f"rows-{last}", f"records-{last}"
+        mirror(self.rows(), fresh, drops).write.mode("overwrite").parquet(f"{self.files.root}/{rows}")
+        abort = F.col("abort") if "abort" in fresh.columns else F.lit(0)
+        fresh.select("seq", abort.cast("int").alias("abort")).write.mode("overwrite").parquet(f"{self.files.root}/{records}")
+        ended = {} if drops is None else {str(r["table_id"]): r["s"] for r in drops.groupBy("table_id").agg(F.max("seq").alias("s")).collect()}
+        self.files.write("CURRENT", json.dumps({"database_id": self.database_id, "seq": last, "rows": rows, "records": [*now["records"], records], "drops": now["drops"] | ended}))
         return last
 
 
-def stream_feed(spark: SparkSession, path: str, schema: str, frontier: int, after: int = 0, max_records: int = PAGE_RECORDS) -> DataFrame:
+def stream_feed(spark: SparkSession, path: str, schema: str, frontier: int | None = None, after: int = 0, max_records: int = PAGE_RECORDS) -> DataFrame:
+    """A stream of outcomes up to `frontier`, or of whatever arrives."""
     spark.dataSource.register(FeedSource)
-    return spark.readStream.format("tidemark_feed").option("path", path).option("schema", schema).option("frontier", frontier).option("startingSequence", after).option("maxRecords", max_records).load()
+    reader = spark.readStream.format("tidemark_feed").option("path", path).option("schema", schema).option("startingSequence", after).option("maxRecords", max_records)
+    return (reader if frontier is None else reader.option("frontier", frontier)).load()
 
 
 def drain(spark: SparkSession, outcomes: DataFrame, max_records: int = 1 << 20) -> DataFrame:
