@@ -314,6 +314,35 @@ def test_every_template_finds_itself():
     assert t.match("A novel about the sea and the people near it.")[1] < licences.LEAST
 
 
+def test_cosines_equal_plain_sums():
+    """Templates.match against the cosine written out term by term."""
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 900, licences.SLOTS).astype(float)
+    counts[licences.SLOTS - 1] = 1000
+    for texts, vocabulary in ((licences.TEMPLATES, licences.VOCABULARY), (licences.WHOLE_TEXTS[:4], {t: k for k, t in enumerate(sorted({t for _, x in licences.WHOLE_TEXTS[:4] for t in licences.terms(x)}))})):
+        t = licences.Templates(counts, texts, vocabulary)
+        rare = lambda w: math.log(1001 / (counts[licences.SLOT[w]] + 1)) + 1
+        weight = lambda term: sum(rare(w) for w in term.split(" ")) / len(term.split(" "))
+
+        def vector(text):
+            words, out = licences.terms(text), {}
+            for w in set(words):
+                if w in vocabulary:
+                    out[w] = words.count(w) * weight(w)
+                elif " " not in w:
+                    out[w] = words.count(w) * (math.log(1001) + 1)
+            return out
+
+        for probe in ("Licensed under the MIT License, said the author of this file in 2019.", "Permission is hereby granted, free of charge, to deal in the Software without restriction", texts[2][1] + " and some words more " * 3):
+            v = vector(probe)
+            cosines = []
+            for name, text in texts:
+                u = vector(text)
+                cosines.append((sum(v[k] * u.get(k, 0) for k in v if k in vocabulary) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values())), name))
+            name, value = t.match(probe)
+            assert value == pytest.approx(max(c for c, _ in cosines)) and any(n == name and c == pytest.approx(value) for c, n in cosines)
+
+
 # ---- quality ----
 
 
@@ -390,25 +419,68 @@ def test_training_rows_are_bounded(docs, spark, monkeypatch):
 # ---- pipeline ----
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark):
+    """run() against plain Python: scores by numpy, links by all pairs of sets, ids by the tokenizers library; sequences
+    hold what they may, without gaps."""
     import corpus_pipeline
-    from tidemark.llm import ngram_join, packing
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    good = quality.score_documents(docs, quality.train(docs, labels)).where("predicted = 1").select("doc_id")
-    kept = docs.join(good, "doc_id").toPandas()
-    comps = ngram_join.join_documents(docs.join(good, "doc_id")).toPandas()
-    assert set(comps.component_id) <= set(kept.doc_id)
-    kept = kept[kept.doc_id.isin(set(comps.component_id))]
-    texts = {d: pii.replaced(t, pii.find(t, corpus_pipeline.PII_KEY)) for d, t in zip(kept.doc_id, kept.text, strict=True)}
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
+    from tidemark.llm import packing
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    scores = model.score(np.array([quality.statistics(t or "") for _, t in rows]))
+    rows = [r for r, score in zip(rows, scores, strict=True) if score >= 0.3]
+    assert 0 < len(rows) < len(scores)
+
+    def shingles(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, a in enumerate(sets):
+        for k in range(j):
+            b = sets[k]
+            if a and b and 100 * min(len(a), len(b)) >= 75 * max(len(a), len(b)) and 100 * (n := len(a & b)) >= 75 * (len(a) + len(b) - n):
+                root[find(j)] = find(k)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    kept = [r for k, r in enumerate(rows) if least[find(k)] == r[0]]
+    assert len(kept) < len(rows)
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    want = sorted((d, k, s, n, zlib.crc32(np.array(ids[s : s + n], dtype="<u4").tobytes())) for d, ids in ((d, [*t.encode(x, add_special_tokens=False).ids, 0]) for d, x in texts.items()) for k, (s, n) in enumerate(packing.cut(len(ids), 2048)))
-    out = corpus_pipeline.run(spark, SF)
-    assert sorted(tuple(r) for r in out.select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == want
+    want = []
+    for d, text in kept:
+        ids = [*t.encode(pii.replaced(text, pii.find(text, corpus_pipeline.PII_KEY)), add_special_tokens=False).ids, 0] if text else [0]
+        want += [(d, k, s, n, zlib.crc32(np.array(ids[s : s + n], dtype="<u4").tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 2048))]
+    out = corpus_pipeline.run(spark, SF).toPandas()
+    assert sorted(out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
+    assert out.sequence_id.nunique() <= 1.01 * out.length.sum() / 2048 + 2
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "PII", "best-fit packing"]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.limit(50), SF).columns == docs.columns
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Empty tables, nulls in any column, repeated rows and ids: each stage returns the columns of documents."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    empty = docs.limit(0)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", None, None), (1, "", None, "s", 0), (2, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5), (None, "x " * 30, "en", "s", 60)], docs.schema)
+    for some in (empty, odd):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, SF)
+            assert stage is corpus_pipeline.best_fit_packing or out.columns == docs.columns
+            assert (out.count() == 0) == (some is empty) or stage is corpus_pipeline.quality_classifier
+    assert corpus_pipeline.ngram_jaccard_join(spark, odd, SF).count() == 5
+    assert corpus_pipeline.pii_pseudonyms(spark, odd, SF).count() == 6

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir
+
 #: Rows that Spark hands a Python worker at once. Texts vary from a few bytes to many MB, so this stays small.
 ROWS_PER_BATCH = "1000"
 
@@ -22,24 +23,12 @@ def session(df_or_spark) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) a local one."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 class Workspace:
     """Tables written under the shared folder, so that a lost executor costs no more than the running stage."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = shared_dir(spark, label)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
