@@ -148,6 +148,20 @@ def catalogue_live_names(spark, d):
     return H.catalogue_asof(_catalogue(spark, d), 9000, live_only=True).groupBy("name").agg(F.count("*").alias("tables"), F.sum("table_id").alias("ids"))
 
 
+@_query("WITH p AS (SELECT p_partkey * 7 AS seq, CAST(p_size AS BIGINT) AS rows_limit FROM part), e AS (SELECT event_id + 2 AS seq FROM events) SELECT e.seq, p.rows_limit FROM e ASOF LEFT JOIN p ON e.seq > p.seq")
+def policy_per_record(spark, d):
+    """The limits that each record of the log runs under."""
+    policy = _table(spark, d, "part").select((F.col("p_partkey") * 7).alias("seq"), F.col("p_size").cast("bigint").alias("limits"))
+    return H.policies_for(_table(spark, d, "events").select((F.col("event_id") + 2).alias("seq")), policy).select("seq", F.col("limits").alias("rows_limit"))
+
+
+@_query(f"WITH {_DDL}, e AS (SELECT event_id + 2 AS seq, user_id AS table_id FROM events) SELECT e.seq, e.table_id, c.seq AS entry_seq, c.live, c.name FROM e ASOF LEFT JOIN c ON e.table_id = c.table_id AND e.seq > c.seq")
+def schema_per_record(spark, d):
+    """The catalogue entry that each record of the log is bound to."""
+    log = _table(spark, d, "events").select((F.col("event_id") + 2).alias("seq"), F.col("user_id").alias("table_id"))
+    return H.schemas_for(log, _catalogue(spark, d)).select("seq", "table_id", F.col("entry.seq").alias("entry_seq"), "entry.live", "entry.name")
+
+
 @_query("WITH p AS (SELECT p_partkey AS seq, CAST(p_size AS BIGINT) AS l FROM part) SELECT seq, l AS rows_limit, l * 64 AS bytes_limit FROM p WHERE seq <= 777 ORDER BY seq DESC LIMIT 1")
 def policy_asof(spark, d):
     size = F.col("p_size").cast("bigint")

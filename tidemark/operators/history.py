@@ -109,6 +109,22 @@ def policy_asof(policy: DataFrame, at: int) -> DataFrame:
     return policy.where(F.col("seq") <= at).agg(F.max(F.struct("seq", "limits")).alias("_p")).select(F.col("_p.seq").alias("seq"), F.col("_p.limits").alias("limits"))
 
 
+def policies_for(log: DataFrame, policy: DataFrame) -> DataFrame:
+    """Each record with the limits in force as it runs: those of the newest entry (seq, limits) strictly before it, null
+    where none is older."""
+    entries = policy.select(F.lit(0).alias("_one"), "seq", F.lit(False).alias("is_delete"), F.col("limits").alias("value"))
+    out = asof_prior(log.withColumn("_one", F.lit(0)), entries, ("_one",))
+    return out.select(*log.columns, F.col("prior.value").alias("limits"))
+
+
+def schemas_for(log: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Each record (seq, table_id, ..) with its table's newest catalogue entry strictly before it, as the struct `entry`;
+    null where there is none."""
+    names = [c for c in catalogue.columns if c != "table_id"]
+    entries = catalogue.select("table_id", "seq", F.lit(False).alias("is_delete"), F.struct(*names).alias("value"))
+    return asof_prior(log, entries, ("table_id",)).select(*log.columns, F.col("prior.value").alias("entry"))
+
+
 def frontier(outcomes: DataFrame, base: int = 0) -> DataFrame:
     """The end of the longest resolved prefix: the last of base, base + 1, .. that is resolved without a gap before it.
     A sequence that is missing is as open as one whose `resolved` doesn't hold; an equi-join finds the first without a
