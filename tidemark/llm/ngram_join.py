@@ -295,69 +295,113 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_o", other).withColumn("i", F.least("piece", "_o")).withColumn("j", F.greatest("piece", "_o")).drop("_o")
 
 
-def _open_pairs(group: pd.DataFrame, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of a list (or of two of its pieces) that lie in different components and may link."""
-    size, comp, piece, prev = (group[c].to_numpy() for c in ("size", "comp", "piece", "prev"))
-    left = size - group["pos"].to_numpy()
-    across = group["i"].iloc[0] != group["j"].iloc[0]
-    for x, y in blocks_may_link(size, left, num, den, BLOCK):
-        a, b = size[x][:, None], size[y][None, :]
-        good = (comp[x][:, None] != comp[y][None, :]) & (prev[x][:, None] != prev[y][None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
-        good &= (den + num) * np.minimum(left[x][:, None], left[y][None, :]) >= num * (a + b)
-        if across:
-            good &= piece[x][:, None] != piece[y][None, :]
-        if x == y:
-            good = np.triu(good, 1)
-        i, j = np.nonzero(good)
-        if len(i):
-            yield i + x.start, j + y.start
-
-
-def _pivot_pairs(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Pairs of a list's pivots (those of the least hashes among sets that are still open) with the sets open to them."""
-    group = group.sort_values(["size", "pos", "node"], ignore_index=True)
-    node, found = group["node"].to_numpy(), []
-    is_pivot = np.zeros(len(node), dtype=bool)
-    is_pivot[np.argsort(node)[: min(PIVOTS, max(1, len(node).bit_length() - 2))]] = True
-    for i, j in _open_pairs(group, num, den):
-        some = is_pivot[i] | is_pivot[j]
-        i, j = np.where(is_pivot[i], i, j)[some], np.where(is_pivot[i], j, i)[some]
-        found.append(np.stack([node[i], node[j]], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _derived(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Answers of the open pairs of a list that follow from both sets' overlaps with its pivots: a, b, linked (null where
-    they don't decide). Pairs that can't link are left out."""
-    group = group.sort_values(["size", "pos", "node"], ignore_index=True)
-    node, size = group["node"].to_numpy(), group["size"].to_numpy().astype(np.int64)
-    names = [k for row in group["pivots"] if row is not None for k in row]
-    pivots, times = np.unique(np.array(names, dtype=np.int64), return_counts=True)
-    pivots = pivots[np.argsort(-times, kind="stable")[: 2 * PIVOTS]]
-    at = {int(k): c for c, k in enumerate(pivots)}
-    shared, width = np.full((len(node), len(pivots)), -1, dtype=np.int64), np.zeros(len(pivots), dtype=np.int64)
-    for r, (ks, os, ps) in enumerate(zip(group["pivots"], group["overlaps"], group["pivot_sizes"], strict=True)):
-        for k, o, p in zip(ks if ks is not None else (), os if os is not None else (), ps if ps is not None else (), strict=True):
-            if k in at:
-                shared[r, at[k]], width[at[k]] = o, p
-    for r in np.flatnonzero(np.isin(node, pivots)).tolist():
-        shared[r, at[int(node[r])]], width[at[int(node[r])]] = size[r], size[r]
-    out = []
-    for i, j in _open_pairs(group, num, den):
-        a, b = size[i], size[j]
-        enough = -(-num * (a + b) // (num + den))
-        yes, no = np.zeros(len(i), dtype=bool), np.zeros(len(i), dtype=bool)
-        for c in range(len(pivots)):
-            x, y = shared[i, c], shared[j, c]
-            told = (x >= 0) & (y >= 0)
-            yes |= told & (x + y - width[c] >= enough)
-            no |= told & (np.minimum(x, y) + np.minimum(a - x, b - y) < enough)
-        keep = ~no
-        lo, hi = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        out.append(np.stack([lo[keep], hi[keep], yes[keep]], 1))
-    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
-    return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "linked": pd.array(np.where(rows[:, 2] > 0, True, None), dtype="boolean")})
+class _List:
+    """The entries of a list, or of two of its pieces, as arrays in the order of size, pos and node."""
+
+    def __init__(self, rows: pa.Table):
+        self.size, self.pos, self.comp, self.piece, self.prev, self.node = (rows.column(c).to_numpy() for c in ("size", "pos", "comp", "piece", "prev", "node"))
+        self.size = self.size.astype(np.int64)
+        self.across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        self.rows = rows
+
+    def open_pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs that lie in different components, don't meet in an earlier list, and may link."""
+        size, comp, prev, left = self.size, self.comp, self.prev, self.size - self.pos
+        for x, y in blocks_may_link(size, left, num, den, BLOCK):
+            a, b = size[x][:, None], size[y][None, :]
+            good = (comp[x][:, None] != comp[y][None, :]) & (prev[x][:, None] != prev[y][None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+            good &= (den + num) * np.minimum(left[x][:, None], left[y][None, :]) >= num * (a + b)
+            if self.across:
+                good &= self.piece[x][:, None] != self.piece[y][None, :]
+            if x == y:
+                good = np.triu(good, 1)
+            i, j = np.nonzero(good)
+            if len(i):
+                yield i + x.start, j + y.start
+
+    def pivot_pairs(self, num: int, den: int) -> np.ndarray:
+        """(a, b) of the list's pivots (of the least hashes) with the sets that are open to them."""
+        node, found = self.node, []
+        is_pivot = np.zeros(len(node), dtype=bool)
+        is_pivot[np.argsort(node)[: min(PIVOTS, max(1, len(node).bit_length() - 2))]] = True
+        for i, j in self.open_pairs(num, den):
+            some = is_pivot[i] | is_pivot[j]
+            i, j = np.where(is_pivot[i], i, j)[some], np.where(is_pivot[i], j, i)[some]
+            found.append(np.stack([node[i], node[j]], 1))
+        return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+
+    def derived(self, num: int, den: int) -> np.ndarray:
+        """(a, b, 1 if linked or 0 if undecided) of the open pairs, by both sets' overlaps with pivots: those of the list
+        that most of its sets were compared with. Pairs that can't link are left out."""
+        node, size = self.node, self.size
+        told = self.rows.column("pivots").combine_chunks()
+        counts = told.value_lengths().fill_null(0).to_numpy()
+        owner = np.repeat(np.arange(len(node)), counts)
+        flat = told.flatten()
+        names, overlap, wide = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        pivots, which, times = np.unique(names, return_inverse=True, return_counts=True)
+        top = np.argsort(-times, kind="stable")[: 2 * PIVOTS]
+        place = np.full(len(pivots), -1, dtype=np.int64)
+        place[top] = np.arange(len(top))
+        shared, width = np.full((len(node), len(top)), -1, dtype=np.int64), np.zeros(len(top), dtype=np.int64)
+        at = place[which]
+        keep = at >= 0
+        shared[owner[keep], at[keep]] = overlap[keep]
+        width[at[keep]] = wide[keep]
+        for c, k in enumerate(pivots[top].tolist()):
+            own = np.flatnonzero(node == k)
+            shared[own, c] = size[own]
+            width[c] = size[own[0]] if len(own) else width[c]
+        out = []
+        for i, j in self.open_pairs(num, den):
+            a, b = size[i], size[j]
+            enough = -(-num * (a + b) // (num + den))
+            yes, no = np.zeros(len(i), dtype=bool), np.zeros(len(i), dtype=bool)
+            for c in range(len(top)):
+                x, y = shared[i, c], shared[j, c]
+                both = (x >= 0) & (y >= 0)
+                yes |= both & (x + y - width[c] >= enough)
+                no |= both & (np.minimum(x, y) + np.minimum(a - x, b - y) < enough)
+            keep = ~no
+            out.append(np.stack([np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep], yes[keep]], 1))
+        return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
+
+
+def _by_list(rows: DataFrame, what: str, num: int, den: int) -> DataFrame:
+    """Applies a method of _List to every list (token) or pair of its pieces (i, j). Lists come sorted in a stream, so a
+    task holds some lists at a time, and a list has at most the entries of two pieces."""
+    names = ["a", "b", "linked"][: 2 if what == "pivot_pairs" else 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = [getattr(_List(table.slice(x, y - x)), what)(num, den) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y - x > 1]
+            pairs = np.unique(np.concatenate(found), axis=0) if found else ()
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(len(names))], names)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= 50_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                cuts = _cuts(table)
+                yield from done(table.slice(0, int(cuts[-2])), cuts[:-1])
+                table = table.slice(int(cuts[-2]))
+                held, size = table.to_batches(), len(table)
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from done(table, _cuts(table))
+
+    dealt = _in_blocks(rows).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size", "pos", "node")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _cuts(table: pa.Table) -> np.ndarray:
+    """Where lists begin, and the end."""
+    t, i, j = (table.column(c).to_numpy() for c in ("token", "i", "j"))
+    new = np.flatnonzero((t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    return np.concatenate([[0], new, [len(t)]])
 
 
 def bit_rows(sets: list[np.ndarray], width: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -486,18 +530,15 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     mixed = placed.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m")).where("_l <> _m").select("token")
     mixed = ws.table(placed.join(mixed, "token", "left_semi"), "mixed")
     if not mixed.isEmpty():
-        blocks = _in_blocks(mixed)
-        stars = blocks.groupBy("token", "i", "j").applyInPandas(lambda g: _pivot_pairs(g, num, den), "a long, b long")
-        stars = ws.table(stars.distinct(), "stars")
+        stars = ws.table(_by_list(mixed, "pivot_pairs", num, den).distinct(), "stars")
         lacking = ws.table(_either(stars).join(sets.select("node"), "node", "left_anti"), "lacking")
         if not lacking.isEmpty():
             sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets2"))
         told = ws.table(_verified(stars, sets), "told")
-        to_pivots = told.groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", "overlap", "size_a")).alias("_p"))
-        told_rows = mixed.join(to_pivots, "node", "left").select(*mixed.columns, F.col("_p.a").alias("pivots"), F.col("_p.overlap").alias("overlaps"), F.col("_p.size_a").alias("pivot_sizes"))
-        answers = _in_blocks(told_rows).groupBy("token", "i", "j").applyInPandas(lambda g: _derived(g, num, den), "a long, b long, linked boolean")
-        answers = ws.table(answers.groupBy("a", "b").agg(F.max("linked").alias("linked")), "answers")
-        asked = ws.table(answers.where("linked is null").select("a", "b"), "asked")
+        to_pivots = told.groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", F.col("overlap").cast("long").alias("overlap"), F.col("size_a").cast("long").alias("size_a"))).alias("pivots"))
+        answers = _by_list(mixed.join(to_pivots, "node", "left"), "derived", num, den)
+        answers = ws.table(answers.groupBy("a", "b").agg((F.max("linked") > 0).alias("linked")), "answers")
+        asked = ws.table(answers.where("not linked").select("a", "b"), "asked")
         lacking = ws.table(_either(asked).join(sets.select("node"), "node", "left_anti"), "lacking2")
         if not lacking.isEmpty():
             sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets3"))
