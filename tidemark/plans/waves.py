@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.types import Invalid, Type, key_bytes
+from tidemark.functions.types import Invalid, key_bytes
 from tidemark.operators import history as H
 from tidemark.plans.program import CEILINGS, Program, execute, key_type, scopes, validate
 from tidemark.sources.shared import shared_dir
