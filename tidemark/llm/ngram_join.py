@@ -149,8 +149,8 @@ def _texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple[list, lis
 
 
 def _entries(docs: DataFrame, reps: DataFrame, counts: np.ndarray, n: int, bits: int, num: int, den: int) -> DataFrame:
-    """The prefix of every set: token, piece, pieces, node, size, pos, prev. Rare shingles (by the sketch) come first in
-    the order; prev is 32 bits of the shingle before (of the node, where none is). A list that may be long has as many pieces as it needs; a set's hash decides its piece. Copies that the bitmap
+    """The prefix of every set: token, cut, node, size, pos. Rare shingles (by the sketch) come first in the order; cut
+    holds how many pieces the list has (above 32 bits) and the number of the entry's. A list that may be long has as many pieces as it needs; a set's hash decides its piece. Copies that the bitmap
     lets through give their set's entries again (once in a task while it remembers)."""
     levels = np.floor(64 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint16)  # counts end at 2^32
     spread = docs.sparkSession.sparkContext.broadcast(levels)  # of the sketch's size
@@ -159,7 +159,7 @@ def _entries(docs: DataFrame, reps: DataFrame, counts: np.ndarray, n: int, bits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, shingler, told = spread.value, Shingler(n), set()
         for _, some in _texts(batches, known):
-            tokens, owners, sizes, places, before = [], [], [], [], []
+            tokens, owners, sizes, places = [], [], [], []
             sets = shingler.sets(some)
             for node, h in zip(nodes(sets).tolist(), sets, strict=True):
                 if not len(h) or node in told:
@@ -173,27 +173,22 @@ def _entries(docs: DataFrame, reps: DataFrame, counts: np.ndarray, n: int, bits:
                 owners.append(np.full(take, node))
                 sizes.append(np.full(take, len(h)))
                 places.append(np.arange(take))
-                before.append(np.concatenate([[np.uint64(node & (1 << 64) - 1)], h[order][:-1]]).astype(np.uint32))
             if tokens:
                 t, who = np.concatenate(tokens), np.concatenate(owners)
                 most = np.exp2((levels[(t >> np.uint64(64 - bits)).astype(np.int64)] + 1) / 64)
                 pieces = np.ceil(most / PIECE).astype(np.int64)
                 piece = (who.view(np.uint64) >> np.uint64(16)).astype(np.int64) % pieces
-                cols = (t.view(np.int64), piece.astype(np.int32), pieces.astype(np.int32), who, np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32), np.concatenate(before).view(np.int32))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["token", "piece", "pieces", "node", "size", "pos", "prev"])
+                cols = (t.view(np.int64), pieces << 32 | piece, who, np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["token", "cut", "node", "size", "pos"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "token long, piece int, pieces int, node long, size int, pos int, prev int")
+    return docs.where("doc_id is not null").mapInArrow(run, "token long, cut long, node long, size int, pos int")
 
 
-MET = ["long", "token", "piece", "pieces", "a", "b", "size", "pos", "prev"]
+MET = ["long", "token", "piece", "pieces", "a", "b", "size", "pos"]
 
 
 def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by token, piece, size, pos and node -> pairs (a, b) to compare, and the entries of long lists.
-
-    Two sets whose shingles before this one are the same meet in that shingle's list already, so here they needn't: only
-    the list of two sets' first common shingle counts, and there what comes before differs. So of the lists of a passage
-    that many texts share, all but the first ones fall away whole.
+    """Entries sorted by token, cut, size, pos and node -> pairs (a, b) to compare, and the entries of long lists.
 
     Lists of one set vanish, those of up to FEW give every pair that sizes and places let through. Of longer ones, and of
     lists in several pieces, the set of the least hash is the pivot, which is paired with all others let through; their
@@ -202,25 +197,25 @@ def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int
     held, size = [], 0
 
     def emit(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        token, piece, pieces, node, sizes, pos, prev = cols
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1]) | (node[1:] != node[:-1])])
-        token, piece, pieces, node, sizes, pos, prev = (c[new] for c in cols)
-        begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (piece[1:] != piece[:-1])]))
+        token, cut, node, sizes, pos = cols
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (cut[1:] != cut[:-1]) | (node[1:] != node[:-1])])
+        token, cut, node, sizes, pos = (c[new] for c in cols)
+        piece, pieces = (cut & 0xFFFFFFFF).astype(np.int32), (cut >> 32).astype(np.int32)
+        begins = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (cut[1:] != cut[:-1])]))
         lengths = np.diff(np.append(begins, len(token)))
         split = pieces[begins] > 1
         found = []
 
         def pair(x: np.ndarray, y: np.ndarray) -> None:
             x, y = x.ravel(), y.ravel()
-            good = (prev[x] != prev[y]) & may_link(sizes[x], pos[x], sizes[y], pos[y], num, den)
+            good = may_link(sizes[x], pos[x], sizes[y], pos[y], num, den)
             found.append(np.stack([node[x[good]], node[y[good]]], 1))
 
         for n in range(2, FEW + 1):
             rows = begins[(lengths == n) & ~split]
             i, j = np.triu_indices(n, 1)
             pair(rows[:, None] + i[None, :], rows[:, None] + j[None, :])
-        varied = np.maximum.reduceat(prev, begins) != np.minimum.reduceat(prev, begins)
-        some = np.flatnonzero(((lengths > FEW) & varied) | split)
+        some = np.flatnonzero((lengths > FEW) | split)
         keep = [np.arange(begins[k], begins[k] + lengths[k]) for k in some.tolist()]
         for rows in keep:
             pivot = rows[node[rows].argmin()]
@@ -229,14 +224,14 @@ def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int
         pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
         if len(pairs):
             none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), *none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int32())] * 3], MET)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), dtype=bool)), *none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int32())] * 2], MET)
         if keep:
             at = np.concatenate(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), pa.array(token[at]), pa.array(piece[at]), pa.array(pieces[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(sizes[at]), pa.array(pos[at]), pa.array(prev[at])], MET)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), pa.array(token[at]), pa.array(piece[at]), pa.array(pieces[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(sizes[at]), pa.array(pos[at])], MET)
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, size
-        cols = [np.concatenate([h[k] for h in held]) for k in range(7)] if held else []
+        cols = [np.concatenate([h[k] for h in held]) for k in range(5)] if held else []
         held, size = [], 0
         if not cols or not len(cols[0]):
             return
@@ -248,7 +243,7 @@ def scan_lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int
             yield from emit([c[:stop] for c in cols], last)
 
     for batch in batches:
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)])
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
         size += len(batch)
         if size >= most:
             yield from flush(False)
@@ -299,17 +294,17 @@ class _List:
     """The entries of a list, or of two of its pieces, as arrays in the order of size, pos and node."""
 
     def __init__(self, rows: pa.Table):
-        self.size, self.pos, self.comp, self.piece, self.prev, self.node = (rows.column(c).to_numpy() for c in ("size", "pos", "comp", "piece", "prev", "node"))
+        self.size, self.pos, self.comp, self.piece, self.node = (rows.column(c).to_numpy() for c in ("size", "pos", "comp", "piece", "node"))
         self.size = self.size.astype(np.int64)
         self.across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
         self.rows = rows
 
     def open_pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of the pairs that lie in different components, don't meet in an earlier list, and may link."""
-        size, comp, prev, left = self.size, self.comp, self.prev, self.size - self.pos
+        """Places of the pairs that lie in different components and may link."""
+        size, comp, left = self.size, self.comp, self.size - self.pos
         for x, y in blocks_may_link(size, left, num, den, BLOCK):
             a, b = size[x][:, None], size[y][None, :]
-            good = (comp[x][:, None] != comp[y][None, :]) & (prev[x][:, None] != prev[y][None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+            good = (comp[x][:, None] != comp[y][None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
             good &= (den + num) * np.minimum(left[x][:, None], left[y][None, :]) >= num * (a + b)
             if self.across:
                 good &= self.piece[x][:, None] != self.piece[y][None, :]
@@ -476,8 +471,7 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
     Documents link when den * intersection >= num * union of their sets of word n-grams; component_id is the smallest
     id reachable by links. Every link between different sets is either verified, derived, or implied by links already
-    found, so components are exact (up to collisions of 64-bit hashes of shingles and of sets, and of 32 bits of the
-    shingles before a pair's first common one); no group is expanded into
+    found, so components are exact (up to collisions of 64-bit hashes of shingles and of sets); no group is expanded into
     rows for all its pairs:
 
     1. Equal sets are one node (the set's hash); representative_id is the smallest id that holds the set. component_node
@@ -513,10 +507,10 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     full = seen.where("n_shingles > 0 and doc_id is not null")
     reps = ws.table(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("weight")), "reps")
 
-    entries = _entries(docs, reps, counts, n, bits, num, den).repartition("token", "piece").sortWithinPartitions("token", "piece", "size", "pos", "node")
-    met = ws.table(entries.mapInArrow(lambda batches: scan_lists(batches, num, den), "long boolean, token long, piece int, pieces int, a long, b long, size int, pos int, prev int"), "met")
+    entries = _entries(docs, reps, counts, n, bits, num, den).repartition("token", "cut").sortWithinPartitions("token", "cut", "size", "pos", "node")
+    met = ws.table(entries.mapInArrow(lambda batches: scan_lists(batches, num, den), "long boolean, token long, piece int, pieces int, a long, b long, size int, pos int"), "met")
     pairs = ws.table(met.where("not long").select("a", "b").distinct(), "pairs")
-    lists = met.where("long").select("token", "piece", "pieces", F.col("a").alias("node"), "size", "pos", "prev")
+    lists = met.where("long").select("token", "piece", "pieces", F.col("a").alias("node"), "size", "pos")
 
     named = lambda *frames: reps.select("node", "rep").join(_either(*frames), "node", "left_semi")
     sets = ws.table(_sets(docs, named(pairs), n), "sets")
@@ -526,15 +520,22 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     comps = ws.table(components(links, ws, "first"), "comps")
 
     # Long lists in several components
-    placed = lists.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m")).where("_l <> _m").select("token")
-    mixed = ws.table(placed.join(mixed, "token", "left_semi"), "mixed")
+    def placed(comps: DataFrame, name: str) -> DataFrame:
+        rows = lists.join(comps.select(F.col("id").alias("node"), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = rows.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m")).where("_l <> _m").select("token")
+        return ws.table(rows.join(several, "token", "left_semi"), name)
+
+    joined = lambda more, comps: more.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(comps.select(F.col("id").alias("u"), F.col("comp").alias("v")))
+    mixed = placed(comps, "mixed")
     if not mixed.isEmpty():
         stars = ws.table(_by_list(mixed, "pivot_pairs", num, den).distinct(), "stars")
         lacking = ws.table(_either(stars).join(sets.select("node"), "node", "left_anti"), "lacking")
         if not lacking.isEmpty():
             sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets2"))
         told = ws.table(_verified(stars, sets), "told")
+        # what the pivots join needs no answers of its own
+        comps = ws.table(components(joined(told.where(linked), comps), ws, "second"), "comps2")
+        mixed = placed(comps, "mixed2")
         to_pivots = told.groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", F.col("overlap").cast("long").alias("overlap"), F.col("size_a").cast("long").alias("size_a"))).alias("pivots"))
         answers = _by_list(mixed.join(to_pivots, "node", "left"), "derived", num, den)
         answers = ws.table(answers.groupBy("a", "b").agg((F.max("linked") > 0).alias("linked")), "answers")
@@ -542,9 +543,8 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
         lacking = ws.table(_either(asked).join(sets.select("node"), "node", "left_anti"), "lacking2")
         if not lacking.isEmpty():
             sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets3"))
-        more = told.unionByName(_verified(asked, sets)).where(linked).select("a", "b").unionByName(answers.where("linked").select("a", "b"))
-        edges = more.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(comps.select(F.col("id").alias("u"), F.col("comp").alias("v")))
-        comps = ws.table(components(edges, ws, "last"), "final")
+        more = _verified(asked, sets).where(linked).select("a", "b").unionByName(answers.where("linked").select("a", "b"))
+        comps = ws.table(components(joined(more, comps), ws, "last"), "final")
 
     members = comps.select(F.col("id").alias("node"), "comp").join(reps, "node")
     if what != "components":
@@ -580,7 +580,7 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     return out
 
 
-TEMPORARY = ("scan", "reps", "met", "pairs", "sets", "sets2", "sets3", "sets4", "known", "comps", "mixed", "stars", "told", "answers", "asked", "lacking", "lacking2", "lacking3", "final", "held", "of")
+TEMPORARY = ("scan", "reps", "met", "pairs", "sets", "sets2", "sets3", "sets4", "known", "comps", "comps2", "mixed", "mixed2", "stars", "told", "answers", "asked", "lacking", "lacking2", "lacking3", "final", "held", "of")
 
 
 def _either(*frames: DataFrame) -> DataFrame:
