@@ -24,6 +24,8 @@ PIECE = 4096
 BLOCK = 256
 #: Pivots, at most, of a list that lies in several components after the first comparisons (fewer in shorter lists).
 PIVOTS = 8
+#: Rounds in which such lists are compared with pivots, each with others, before bounds and answers follow.
+TURNS = 3
 #: Ids of which a bitmap is made and sent to the tasks; of more, texts are joined or all of them read.
 BITMAP_IDS = 1 << 20
 #: Words whose hashes a worker keeps.
@@ -314,11 +316,11 @@ class _List:
             if len(i):
                 yield i + x.start, j + y.start
 
-    def pivot_pairs(self, num: int, den: int) -> np.ndarray:
-        """(a, b) of the list's pivots (of the least hashes) with the sets that are open to them."""
+    def pivot_pairs(self, num: int, den: int, turn: int = 0) -> np.ndarray:
+        """(a, b) of the list's pivots (of the least hashes, by another hash each turn) with the sets open to them."""
         node, found = self.node, []
         is_pivot = np.zeros(len(node), dtype=bool)
-        is_pivot[np.argsort(node)[: min(PIVOTS, max(1, len(node).bit_length() - 2))]] = True
+        is_pivot[np.argsort(node.view(np.uint64) * _ODD[turn])[: min(PIVOTS, max(1, len(node).bit_length() - 2))]] = True
         for i, j in self.open_pairs(num, den):
             some = is_pivot[i] | is_pivot[j]
             i, j = np.where(is_pivot[i], i, j)[some], np.where(is_pivot[i], j, i)[some]
@@ -362,14 +364,14 @@ class _List:
         return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
-def _by_list(rows: DataFrame, what: str, num: int, den: int) -> DataFrame:
+def _by_list(rows: DataFrame, what: str, num: int, den: int, *more: int) -> DataFrame:
     """Applies a method of _List to every list (token) or pair of its pieces (i, j). Lists come sorted in a stream, so a
     task holds some lists at a time, and a list has at most the entries of two pieces."""
     names = ["a", "b", "linked"][: 2 if what == "pivot_pairs" else 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = [getattr(_List(table.slice(x, y - x)), what)(num, den) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y - x > 1]
+            found = [getattr(_List(table.slice(x, y - x)), what)(num, den, *more) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if y - x > 1]
             pairs = np.unique(np.concatenate(found), axis=0) if found else ()
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(len(names))], names)
@@ -527,22 +529,27 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
 
     joined = lambda more, comps: more.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(comps.select(F.col("id").alias("u"), F.col("comp").alias("v")))
     mixed = placed(comps, "mixed")
-    if not mixed.isEmpty():
-        stars = ws.table(_by_list(mixed, "pivot_pairs", num, den).distinct(), "stars")
-        lacking = ws.table(_either(stars).join(sets.select("node"), "node", "left_anti"), "lacking")
+    told = None
+    for turn in range(TURNS):
+        if mixed.isEmpty():
+            break
+        stars = ws.table(_by_list(mixed, "pivot_pairs", num, den, turn).distinct(), f"stars{turn}")
+        lacking = ws.table(_either(stars).join(sets.select("node"), "node", "left_anti"), f"lacking{turn}")
         if not lacking.isEmpty():
-            sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets2"))
-        told = ws.table(_verified(stars, sets), "told")
+            sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), f"sets{turn}"))
+        new = ws.table(_verified(stars, sets), f"told{turn}")
+        told = new if told is None else told.unionByName(new)
         # what the pivots join needs no answers of its own
-        comps = ws.table(components(joined(told.where(linked), comps), ws, "second"), "comps2")
-        mixed = placed(comps, "mixed2")
-        to_pivots = told.groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", F.col("overlap").cast("long").alias("overlap"), F.col("size_a").cast("long").alias("size_a"))).alias("pivots"))
+        comps = ws.table(components(joined(new.where(linked), comps), ws, f"turn{turn}"), f"comps{turn}")
+        mixed = placed(comps, f"mixed{turn}")
+    if not mixed.isEmpty():
+        to_pivots = told.groupBy(F.col("b").alias("node")).agg(F.collect_set(F.struct("a", F.col("overlap").cast("long").alias("overlap"), F.col("size_a").cast("long").alias("size_a"))).alias("pivots"))
         answers = _by_list(mixed.join(to_pivots, "node", "left"), "derived", num, den)
         answers = ws.table(answers.groupBy("a", "b").agg((F.max("linked") > 0).alias("linked")), "answers")
         asked = ws.table(answers.where("not linked").select("a", "b"), "asked")
-        lacking = ws.table(_either(asked).join(sets.select("node"), "node", "left_anti"), "lacking2")
+        lacking = ws.table(_either(asked).join(sets.select("node"), "node", "left_anti"), "unasked")
         if not lacking.isEmpty():
-            sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets3"))
+            sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), "sets_asked"))
         more = _verified(asked, sets).where(linked).select("a", "b").unionByName(answers.where("linked").select("a", "b"))
         comps = ws.table(components(joined(more, comps), ws, "last"), "final")
 
@@ -552,9 +559,9 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
         held = members.join(members.groupBy("comp").agg(F.count("*").alias("members"), F.sum("weight").alias("total")), "comp")
         held = ws.table(held, "held")
         two, held = held.where("members = 2"), held.where("members > 2")
-        lacking = ws.table(held.select("node", "rep").join(sets.select("node"), "node", "left_anti"), "lacking3")
+        lacking = ws.table(held.select("node", "rep").join(sets.select("node"), "node", "left_anti"), "unheld")
         if not lacking.isEmpty():
-            sets = sets.unionByName(ws.table(_sets(docs, lacking, n), "sets4"))
+            sets = sets.unionByName(ws.table(_sets(docs, lacking, n), "sets_held"))
         some = held.select("node", "comp", "members", "weight").join(sets.select("node", "set"), "node")
         counted = _component_links(some, num, den, what == "pairs")
         if what == "pairs":
@@ -580,7 +587,7 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     return out
 
 
-TEMPORARY = ("scan", "reps", "met", "pairs", "sets", "sets2", "sets3", "sets4", "known", "comps", "comps2", "mixed", "mixed2", "stars", "told", "answers", "asked", "lacking", "lacking2", "lacking3", "final", "held", "of")
+TEMPORARY = ("scan", "reps", "met", "pairs", "sets", "sets_asked", "sets_held", "unasked", "unheld", "known", "comps", "mixed", *[f"{t}{k}" for t in ("stars", "told", "sets", "comps", "mixed", "lacking") for k in range(3)], "answers", "asked", "final", "held", "of")
 
 
 def _either(*frames: DataFrame) -> DataFrame:
