@@ -187,3 +187,33 @@ def test_components_of_a_long_path_and_a_star(spark):
     df = spark.createDataFrame(edges, "u bigint, v bigint")
     out = {r["id"]: r["comp"] for r in components(df, Workspace(spark, "test"), "c").collect()}
     assert out == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1100), 1000)}
+
+
+def test_signatures_rule_out_no_link():
+    """Sets of all sizes (so signatures of several lengths): no pair that links is ruled out, most others are."""
+    rng = random.Random(3)
+    sets = []
+    for size in (1, 5, 31, 33, 120, 130, 500, 520, 40_000):
+        base = [rng.getrandbits(64) for _ in range(size)]
+        for share in (0, 0, 0.05, 0.1, 0.14, 0.2, 0.4, 1):
+            sets.append(np.array(sorted({rng.getrandbits(64) if rng.random() < share else x for x in base[: rng.randint(size * 9 // 10, size) or 1]}), dtype=np.uint64))
+    i, j = np.triu_indices(len(sets), 1)
+    size = np.array([len(s) for s in sets])
+    shared = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    linked = 100 * shared >= 75 * (size[i] + size[j] - shared)
+    allowed = ngram_join.signatures_allow(ngram_join.signatures(sets), size, i, j, 75, 100)
+    assert linked.sum() > 50 and allowed[linked].all()
+    far = (shared == 0) & (100 * np.minimum(size[i], size[j]) >= 75 * np.maximum(size[i], size[j])) & (np.maximum(size[i], size[j]) <= 1 << (ngram_join.SIGN_BITS - 1))
+    assert far.sum() > 30 and allowed[far].mean() < 0.05
+
+
+def test_sets_are_fetched_for_likely_pairs_only(docs, monkeypatch):
+    """Documents that share a passage, not enough to link: few of them are compared, and few sets are stored and shuffled."""
+    asked = []
+    fetch = ngram_join._sets
+    monkeypatch.setattr(ngram_join, "_sets", lambda rows, wanted, n: (asked.append(wanted.count()), fetch(rows, wanted, n))[1])
+    part = lambda name, k: " ".join(f"{name}x{j}" for j in range(k))
+    rows = [(3 * k + j, f"{part(f'own{k}q{j}', 60)} {part(f'shared{k}', 60)}") for k in range(40) for j in range(3)]
+    rows += [(1000 + k, part(f"copy{k // 2}", 100) + f" end{k}") for k in range(20)]
+    assert got(docs(rows)) == brute(rows)
+    assert 20 <= sum(asked) <= 30, asked

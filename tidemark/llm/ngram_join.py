@@ -26,6 +26,8 @@ BLOCK = 256
 PIVOTS = 8
 #: Rounds in which such lists are compared with pivots, each with others, before bounds and answers follow.
 TURNS = 3
+#: Bits of the longest signature, as a power of two. Larger sets share its bits: that rules out fewer pairs, and loses none.
+SIGN_BITS = 16
 #: Ids of which a bitmap is made and sent to the tasks; of more, texts are joined or all of them read.
 BITMAP_IDS = 1 << 20
 #: Words whose hashes a worker keeps.
@@ -106,9 +108,9 @@ def blocks_may_link(sizes: np.ndarray, left: np.ndarray, num: int, den: int, blo
 
 
 def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """One pass: of each document n_shingles and its set's hash (node); of each task its counts of the sketch."""
-    schema = f"doc_id long, n_shingles long, node long, {PARTIAL_SUMS}"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """One pass: of each document n_shingles, its set's hash (node) and signature; of each task its counts of the sketch."""
+    schema = f"doc_id long, n_shingles long, node long, sign binary, {PARTIAL_SUMS}"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +120,10 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 sets = shingler.sets(texts)
                 counter.add((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64))
                 none = pa.nulls(len(ids), pa.int64())
-                cols = [pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes(sets)), none, none, pa.nulls(len(ids), pa.binary())]
+                cols = [pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(nodes(sets)), pa.array(signatures(sets), pa.binary()), none, none, pa.nulls(len(ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
         rows = counter.rows()
-        cols = [*[[None] * len(rows)] * 3, *zip(*rows, strict=True)] if rows else [[]] * 6
+        cols = [*[[None] * len(rows)] * 4, *zip(*rows, strict=True)] if rows else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return docs.mapInArrow(run, schema)
@@ -132,6 +134,49 @@ def nodes(sets: list[np.ndarray]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(h.tobytes(), digest_size=8).digest() for h in sets), dtype=np.int64)
 
 
+def signatures(sets: list[np.ndarray]) -> list[bytes]:
+    """Of each set, for 2^k places (k by its size), whether an odd number of its shingles falls there. A place where two
+    signatures differ takes a shingle that only one of the sets holds, so they bound what two sets have in common."""
+    out = []
+    for h in sets:
+        bits = min(SIGN_BITS, max(6, (2 * len(h)).bit_length()))
+        odd = np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+        out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+    return out
+
+
+def signatures_allow(signs: list[bytes], size: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the sets at i and j can link by their signatures; the longer one of a pair is folded to the other's length."""
+    width, good = np.array([len(s) for s in signs], dtype=np.int64), np.zeros(len(i), dtype=bool)
+    least = np.minimum(width[i], width[j])
+    for w in np.unique(least).tolist():
+        at = np.flatnonzero(least == w)
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(signs[k], np.uint64).reshape(-1, w // 8), axis=0) for k in used.tolist()])
+        x, y = place[: len(at)], place[len(at) :]
+        step = max(1, (1 << 23) // w)
+        for cut in (slice(k, k + step) for k in range(0, len(at), step)):
+            differ = np.bitwise_count(rows[x[cut]] ^ rows[y[cut]]).sum(1, dtype=np.int64)
+            total = size[i[at[cut]]] + size[j[at[cut]]]
+            good[at[cut]] = differ <= total - 2 * -(-num * total // (num + den))
+    return good
+
+
+def _likely(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that signatures (node, size, sign) don't rule out."""
+    side = lambda c: signs.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sign").alias(f"sign_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            size = np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b")])
+            k = np.arange(len(t))
+            good = signatures_allow(t.column("sign_a").to_pylist() + t.column("sign_b").to_pylist(), size, k, k + len(t), num, den)
+            yield t.select(["a", "b"]).filter(pa.array(good))
+
+    return both.select("a", "b", "size_a", "size_b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+
+
 def _wanted(ids: DataFrame, column: str):
     """A bitmap that all ids of the column pass, for the tasks; None for more ids than BITMAP_IDS."""
     some = ids.select(column).where(F.col(column).isNotNull()).distinct()
@@ -275,7 +320,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, size_a, size_b, overlap of each pair of nodes, from the sets themselves."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("set").alias(f"set_{c}"))
+    # only the sets of that side are shuffled, where their names are few enough to be sent to all tasks
+    of = lambda c: sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
+    side = lambda c: of(c).select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("set").alias(f"set_{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +376,8 @@ class _List:
 
     def derived(self, num: int, den: int) -> np.ndarray:
         """(a, b, 1 if linked or 0 if undecided) of the open pairs, by both sets' overlaps with pivots: those of the list
-        that most of its sets were compared with. Pairs that can't link are left out."""
-        node, size = self.node, self.size
+        that most of its sets were compared with. Pairs that can't link, by these or by signatures, are left out."""
+        node, size, signs = self.node, self.size, self.rows.column("sign").to_pylist()
         told = self.rows.column("pivots").combine_chunks()
         counts = told.value_lengths().fill_null(0).to_numpy()
         owner = np.repeat(np.arange(len(node)), counts)
@@ -360,6 +407,8 @@ class _List:
                 yes |= both & (x + y - width[c] >= enough)
                 no |= both & (np.minimum(x, y) + np.minimum(a - x, b - y) < enough)
             keep = ~no
+            still = np.flatnonzero(keep & ~yes)
+            keep[still] = signatures_allow(signs, size, i[still], j[still], num, den)
             out.append(np.stack([np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep], yes[keep]], 1))
         return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
@@ -480,11 +529,11 @@ def join_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
        names a component by one of its nodes.
     2. Each set lists the shingles of its prefix, rarest first by a sketch of all counts. Lists of few sets give every
        pair that sizes and positions let through. In longer ones one set is the pivot, and all others are compared with
-       it.
+       it. Before sets are compared, signatures of a few bits for each shingle rule out pairs that differ in too much.
     3. Long lists that now lie within one component are done. The others are taken block by block: pairs of blocks whose
        sizes and positions can't suffice are skipped whole. Some pivots more are compared with what is open to them;
-       from both sets' overlaps with the pivots follow bounds of their own overlap, and only pairs that no pivot decides
-       are compared.
+       from both sets' overlaps with the pivots follow bounds of their own overlap, and only pairs that no pivot and no
+       signature decides are compared.
     4. For n_links each component is taken in pairs of blocks of sets, where likewise the overlaps with one set decide
        most pairs; blocks give sums, not pairs.
 
@@ -514,10 +563,13 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     pairs = ws.table(met.where("not long").select("a", "b").distinct(), "pairs")
     lists = met.where("long").select("token", "piece", "pieces", F.col("a").alias("node"), "size", "pos")
 
-    named = lambda *frames: reps.select("node", "rep").join(_either(*frames), "node", "left_semi")
-    sets = ws.table(_sets(docs, named(pairs), n), "sets")
+    listed = named_by(reps, _either(pairs).unionByName(lists.select("node")).distinct()).withColumnRenamed("rep", "doc_id")
+    signs = scanned.where("n_shingles > 0").join(listed, ["node", "doc_id"], "left_semi")
+    signs = ws.table(signs.select("node", F.col("n_shingles").alias("size"), "sign").dropDuplicates(["node"]), "signs")
+    likely = ws.table(_likely(pairs, signs, num, den), "likely")
+    sets = ws.table(_sets(docs, named_by(reps, _either(likely)), n), "sets")
     linked = similar(F.col("overlap"), F.col("size_a"), F.col("size_b"), num, den)
-    known = ws.table(_verified(pairs, sets), "known")
+    known = ws.table(_verified(likely, sets), "known")
     links = known.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = ws.table(components(links, ws, "first"), "comps")
 
@@ -533,7 +585,7 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     for turn in range(TURNS):
         if mixed.isEmpty():
             break
-        stars = ws.table(_by_list(mixed, "pivot_pairs", num, den, turn).distinct(), f"stars{turn}")
+        stars = ws.table(_likely(_by_list(mixed, "pivot_pairs", num, den, turn).distinct(), signs, num, den), f"stars{turn}")
         lacking = ws.table(_either(stars).join(sets.select("node"), "node", "left_anti"), f"lacking{turn}")
         if not lacking.isEmpty():
             sets = sets.unionByName(ws.table(_sets(docs, named_by(reps, lacking), n), f"sets{turn}"))
@@ -544,7 +596,7 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
         mixed = placed(comps, f"mixed{turn}")
     if not mixed.isEmpty():
         to_pivots = told.groupBy(F.col("b").alias("node")).agg(F.collect_set(F.struct("a", F.col("overlap").cast("long").alias("overlap"), F.col("size_a").cast("long").alias("size_a"))).alias("pivots"))
-        answers = _by_list(mixed.join(to_pivots, "node", "left"), "derived", num, den)
+        answers = _by_list(mixed.join(to_pivots, "node", "left").join(signs.select("node", "sign"), "node"), "derived", num, den)
         answers = ws.table(answers.groupBy("a", "b").agg((F.max("linked") > 0).alias("linked")), "answers")
         asked = ws.table(answers.where("not linked").select("a", "b"), "asked")
         lacking = ws.table(_either(asked).join(sets.select("node"), "node", "left_anti"), "unasked")
@@ -587,7 +639,7 @@ def _join(df: DataFrame, key: str, text: str, n: int, num: int, den: int, bits:
     return out
 
 
-TEMPORARY = ("scan", "reps", "met", "pairs", "sets", "sets_asked", "sets_held", "unasked", "unheld", "known", "comps", "mixed", *[f"{t}{k}" for t in ("stars", "told", "sets", "comps", "mixed", "lacking") for k in range(3)], "answers", "asked", "final", "held", "of")
+TEMPORARY = ("scan", "reps", "met", "pairs", "signs", "likely", "sets", "sets_asked", "sets_held", "unasked", "unheld", "known", "comps", "mixed", *[f"{t}{k}" for t in ("stars", "told", "sets", "comps", "mixed", "lacking") for k in range(3)], "answers", "asked", "final", "held", "of")
 
 
 def _either(*frames: DataFrame) -> DataFrame:
