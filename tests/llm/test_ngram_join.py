@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import ngram_join
+from tidemark.llm import ngram_join, workspace
 from tidemark.llm.workspace import Workspace, components
 
 
@@ -217,3 +217,30 @@ def test_sets_are_fetched_for_likely_pairs_only(docs, monkeypatch):
     rows += [(1000 + k, part(f"copy{k // 2}", 100) + f" end{k}") for k in range(20)]
     assert got(docs(rows)) == brute(rows)
     assert 20 <= sum(asked) <= 30, asked
+
+
+@pytest.mark.parametrize("bits", [24, 7])
+def test_keep_one_shuffles_few_texts(docs, spark, bits, monkeypatch):
+    """Where no table is small enough to be sent to all tasks: the rows that stay are not shuffled for the few that go,
+    and none is lost where its id shares a mark with theirs (nearly all do with 7 bits)."""
+    monkeypatch.setattr(workspace, "MARK_BITS", bits)
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(60)) for _ in range(600)]
+    rows = [(7 * k, t) for k, t in enumerate(texts)] + [(7 * k + 1, texts[k] + " end") for k in range(60)]
+    rows += [(9000, texts[0] + " more"), (9000, "a text of its own"), (None, texts[3]), (9001, None)]
+    sc, limit = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(docs(rows))
+        sc.setJobGroup(f"kept{bits}", "the rows themselves")
+        got = kept.select("doc_id", "text").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = rows[:600] + [(9000, "a text of its own"), (None, texts[3]), (9001, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(f"kept{bits}") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    moved = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    if bits == 24:
+        assert moved < 0.3 * sum(len(t or "") for _, t in rows), moved

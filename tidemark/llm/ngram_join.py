@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.workspace import PARTIAL_SUMS, SlotCounter, Workspace, components, id_bitmap, id_slots, session, sum_slots, text_groups
+from tidemark.llm.workspace import PARTIAL_SUMS, SlotCounter, Workspace, by_marks, components, id_bitmap, id_marks, id_slots, session, sum_slots, text_groups
 
 #: Counters of the frequency sketch that orders shingles, as a power of two. Any order is right; a wider sketch tells
 #: rarer shingles apart in a larger corpus.
@@ -301,7 +301,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node, size and the set itself of the nodes asked for (node, rep), once each."""
     known = _wanted(wanted, "rep")
     if known is None:
-        docs = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+        docs = by_marks(docs.where("doc_id is not null"), "doc_id", id_marks(ids, "doc_id"))[1].join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, told = Shingler(n), set()
@@ -663,10 +664,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     joined = join_documents(df, key, text, n=n, **how)
     ws = Workspace(session(df), "kept")
     ids = joined.where("doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"), F.max(F.expr("n_shingles = 0 or doc_id = component_id")).alias("_any"))
-    ids = ws.table(ids.where("_any").drop("_any"), "ids")
-    rows = df.where(F.col(key).isNotNull())
-    single = rows.join(ids.where("_rows = 1").select("_kept"), F.col(key) == F.col("_kept"), "left_semi")
-    several = ids.where("_rows > 1").select("_kept")
+    ids = ws.table(ids.select("_kept", "_any", (F.col("_any") & (F.col("_rows") == 1)).alias("_single")), "ids")
+    # texts are not shuffled: ids that go or repeat are marked, rows that meet no mark stay as they are; of the others
+    # those stay that meet one by chance
+    marks = ws.table(id_marks(ids.where("not _single"), "_kept"), "marks")
+    clear, rows = by_marks(df.where(F.col(key).isNotNull()), key, marks)
+    met = ws.table(by_marks(ids.where("_single").select("_kept"), "_kept", marks)[1], "met")
+    single = clear.unionByName(rows.join(met, F.col(key) == F.col("_kept"), "left_semi"))
+    several = ids.where("_any and not _single").select("_kept")
     if not several.isEmpty():
         single = single.unionByName(_one_each(rows.join(several, F.col(key) == F.col("_kept"), "left_semi"), joined, ws, key, text, n))
     return single.unionByName(df.where(F.col(key).isNull()))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import shared_dir
@@ -150,6 +150,29 @@ def id_bitmap(df: DataFrame, column: str, bits: int = 21) -> np.ndarray:
     return count_slots(ids, lambda b: id_slots(b.column(0).to_numpy(zero_copy_only=False), bits), 1 << bits) > 0
 
 
+#: Bits that ids mark, as a power of two: 2 MB, and at most 2^18 rows of 64 bits.
+MARK_BITS = 24
+
+
+def _slot(column: str) -> Column:
+    return F.xxhash64(F.col(column).cast("long")).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+
+
+def id_marks(ids: DataFrame, column: str) -> DataFrame:
+    """_word, _bits: the bits that the ids mark, 64 in a row; words without any are left out. No more rows than ids, nor
+    than 2^MARK_BITS / 64, however many ids there are."""
+    some = ids.select(_slot(column).alias("_s"))
+    return some.groupBy(F.shiftright("_s", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_s & 63 as int)))").alias("_bits"))
+
+
+def by_marks(df: DataFrame, column: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `df` whose id in the column marks none of the bits, so is surely none of those ids, and the others,
+    which may be. The marks are sent to all tasks, and no row of `df` is shuffled. Ids are not null."""
+    told = df.withColumn("_s", _slot(column)).join(F.broadcast(marks), F.shiftright("_s", 6) == F.col("_word"), "left")
+    is_set = F.expr("coalesce(shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1, 0) = 1")
+    return told.where(~is_set).select(*df.columns), told.where(is_set).select(*df.columns)
+
+
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """id, comp: for each id of the undirected edges (u, v), the smallest id that it reaches.
 
