@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.functions.types import BOOL, I64, I64_MAX, I64_MIN, U64, U64_MAX, Bytes, Invalid, Rows, String, Tuple, Type, encoded_len, encoded_len_column, fits, key_bytes, key_hex_column
@@ -288,6 +289,24 @@ def test_history_checks_find_what_is_wrong(spark):
     assert H.snapshot(log.limit(0), 9).count() == 0
 
 
+def test_write_sets_sort_no_rows(spark, monkeypatch):
+    """Ties of an ordinal take the most bytes; no aggregate sorts its input, and the tasks grow with it."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(4), 1, rng.randrange(3), rng.randrange(1, 4), rng.random() < 0.3, "x" * rng.randrange(5)) for _ in range(120)]
+    want = {}
+    for tx, _, key, ordinal, gone, value in rows:
+        size = 8 + (0 if gone else 4 + len(value)) + 9
+        n, most = want.setdefault(tx, {}).get(key, (0, (-1, 0)))
+        want[tx][key] = (n + 1, max(most, (ordinal, size)))
+    df = spark.createDataFrame(rows, "tx bigint, table_id bigint, key bigint, ordinal bigint, is_delete boolean, value string")
+    monkeypatch.setattr(scans, "SPREAD", 512)
+    out = H.write_set(df, F.lit(8), 4 + F.length("value"))
+    assert {r["tx"]: (r["point_accesses"], r["distinct_keys"], r["overlay_bytes"]) for r in out.collect()} == {tx: (sum(n for n, _ in k.values()), len(k), sum(m[1] for _, m in k.values())) for tx, k in want.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert scans.spread(df, "tx").rdd.getNumPartitions() > 4 >= scans.spread(df.limit(1), "tx").rdd.getNumPartitions()
+
+
 @pytest.mark.parametrize("width", [3, 1000])
 def test_asof_in_blocks(spark, width, monkeypatch):
     monkeypatch.setattr(scans, "BLOCK", width)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Sequences of a block.
 BLOCK = 1 << 20
 
+#: Bytes, by the planner's estimate, that a task of `spread` gets; an estimate behind joins may be far too high, so no more tasks than these.
+SPREAD, MOST_TASKS = 4 << 20, 2000
+
 KINDS = ("last", "sum", "count", "min", "max")
 
 
@@ -23,6 +26,14 @@ def blocked(df: DataFrame, seq: str = "seq", width: int | None = None) -> DataFr
     return df.withColumn("_block", F.floor(F.col(seq) / F.lit(width or BLOCK)))
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by columns over so many tasks that each holds about SPREAD bytes, however large df is. A number that is
+    stated is kept: a plan that adapts puts up to 64 MB of packed rows into one task, which unpacked are a GB to sort."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, min(-(-size // SPREAD), MOST_TASKS)), *columns)
+
+
 def running(df: DataFrame, address: Sequence[str], columns: dict[str, tuple[str, Column]], order: Sequence[Column | str] = ("seq",), inclusive: bool = False) -> DataFrame:
     """df (with _block) and, for each name, the `last` non-null, `sum`, `count`, `min` or `max` of an expression over the
     rows of the address before this one (inclusive: up to it). Sums and counts of nothing are 0, the others null."""
