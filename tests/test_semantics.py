@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,6 +281,18 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     assert shared.shared_root(Elsewhere) == "hdfs:///x"
 
 
+def test_no_task_of_a_check_grows_with_the_log(spark, monkeypatch):
+    """The number of tasks of a replay and of the count of sequences follows the size of the log."""
+    monkeypatch.setattr(scans, "SPREAD", 1 << 10)
+    log = spark.createDataFrame([(n, 1, n % 7, "store", n) for n in range(1, 400)], "seq bigint, table_id bigint, key bigint, op string, arg bigint")
+    tasks = lambda df: [int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
+    assert max(tasks(R.replay(log))) > 8
+    told = log.unionByName(log.where("seq % 100 = 4")).where("seq % 50 <> 9")
+    assert max(tasks(H.told_counts(told))) > 8
+    assert tuple(H.told_counts(told).first()) == (1, 399, 391 + 4, 391)
+    assert tuple(H.told_counts(told.limit(0)).first()) == (None, None, 0, 0)
+
+
 def test_history_checks_find_what_is_wrong(spark):
     log = spark.createDataFrame([(1, 5, 3, False, 1), (1, 5, 9, False, 2), (2, 5, 4, True, None)], "table_id bigint, key bigint, seq bigint, is_delete boolean, value bigint")
     lives = spark.createDataFrame([(1, 8)], "table_id bigint, dropped_seq bigint")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import INTEGER_OVERFLOW, KEY_EXISTS, MISSING_KEY
 from tidemark.functions.types import I64_MAX, I64_MIN
-from tidemark.operators.scans import blocked, running
+from tidemark.operators.scans import blocked, running, spread
 
 READS, WRITES = ("insert", "add", "load"), ("store", "delete", "insert", "add")
 OUTCOME = "seq long, table_id long, key long, abort int, effect string, value long"
@@ -89,7 +89,8 @@ def algebraic(log: DataFrame) -> DataFrame:
     goes to the fold instead, since an overflow's abort changes what follows."""
     at, op = ("table_id", "key"), F.col("op")
     sets = F.when(op.isin("store", "insert"), True).when(op == "delete", False)
-    rows = running(blocked(log.select("seq", *at, "op", "arg")), at, {"_was": ("last", sets)})
+    # dealt without the table: a literal one drops out of the windows' partitions, and all would be dealt again
+    rows = running(spread(blocked(log.select("seq", *at, "op", "arg")), "key", "_block"), at, {"_was": ("last", sets)})
     rows = rows.withColumn("_there", F.coalesce("_was", F.lit(False)))
     wide = "decimal(38,0)"
     resets = op.isin("store", "delete") | ((op == "insert") & ~F.col("_there"))
